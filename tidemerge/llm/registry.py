@@ -11,8 +11,9 @@ from .langid import op9_language_id
 from .neardup import OP8_SQL, op8_near_duplicates
 from .packing import op1_best_fit_packing
 from .secret_scan import op10_secret_scan
+from .urls import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op7_chat_format, op8_near_duplicates, op9_language_id, op10_secret_scan)
+    f.__name__: f for f in (op1_best_fit_packing, op5_url_filter, op7_chat_format, op8_near_duplicates, op9_language_id, op10_secret_scan)
 }
 SQL: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_near_duplicates": OP8_SQL}

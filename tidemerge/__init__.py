@@ -1 +1 @@
-"""Part of tidemerge."""
+"""tidemerge: an offline replica of remote collections, reconciled by three-way merge, as DataFrame plans."""

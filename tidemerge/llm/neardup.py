@@ -7,7 +7,8 @@
    probability of reaching the threshold falls below ``miss``; survivors are verified on their full sets.
 3. Components of the verified links follow by alternating large-star and small-star steps.
 4. A bucket whose members then lie in one component is done. In the others the pairs across components are compared in blocks of at
-   most ``tile`` rows against ``tile`` rows, again by the signature first and exactly then, so no link is lost to the choice of a hub.
+   most ``tile`` rows (and ``tile_shingles`` shingles, on average) a side, again by the signature first and exactly then, so no link
+   is lost to the choice of a hub. A block reports links only as far as they join components, at most one for each row.
 
 Band parameters: a pair at the threshold 0.85 shares no band with probability (1 - 0.85^6)^30, below one in a million.
 
@@ -41,7 +42,8 @@ class Options:
     rows: int = 6
     batch: int = 30
     miss: float = 1e-6
-    tile: int = 2048
+    tile: int = 1024
+    tile_shingles: int = 1 << 20
     seed: int = 20240229
 
     @property
@@ -161,10 +163,9 @@ def _prune(pairs: DataFrame, reps: DataFrame, options: Options) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, pairs.schema)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. Sets are made anew, only for the texts that stand in a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").where("text IS NOT NULL")
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
+    """(id, shingles): full sets, made anew, only for the ids given."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").where("text IS NOT NULL")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("shingles", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +174,27 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, optio
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingle_hashes(t, options.shingle).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=schema.names)
 
+    return written(rows.mapInArrow(sets, schema).dropDuplicates(["id"]), "shingle-sets")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if not len(x) or not len(y):
+        return False
+    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold."""
+    full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col, options)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
-                ok.append(same > 0 and 100 * same >= options.percent * (len(x) + len(y) - same))
+            each = zip(batch.column("sa"), batch.column("sb"), strict=True)
+            ok = [linked(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in both), options.percent) for both in each]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = written(rows.mapInArrow(sets, schema).dropDuplicates(["id"]), "shingle-sets")
     both = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(compare, pairs.schema)
 
@@ -209,36 +220,50 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def _across(buckets: DataFrame, reps: DataFrame, options: Options) -> DataFrame:
-    """Pairs (a, b) across components within buckets (key, id, component, n) that the signatures don't rule out.
+def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
+    """Links (a, b) across components within buckets (key, id, component, tiles).
 
-    A bucket is dealt into ceil(n / tile) blocks and every pair of blocks meets once, in one group of at most about 2 * tile rows.
+    A bucket is dealt into blocks by rows and by shingles, and every pair of blocks meets once, in one group of bounded size. There,
+    pairs that the signatures don't rule out are verified, the most alike first, and only while they lie in different components:
+    a group gives at most one link for each row.
     """
-    tiles = F.ceil(F.col("n") / F.lit(options.tile)).cast("int")
-    own = buckets.join(reps.select(F.col("rep").alias("id"), "n_shingles", "sig"), "id").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    buckets = written(buckets, "mixed-buckets")
+    full = _sets(docs, buckets.select("id").distinct(), id_col, text_col, options)
+    own = buckets.join(reps.select(F.col("rep").alias("id"), "n_shingles", "sig"), "id").join(full, "id").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = own.withColumn("o", other).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "component", "n_shingles", "sig")
+    rows = own.withColumn("o", other).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "component", "n_shingles", "sig", "shingles")
     steps = fewest_matches(options)
     kind = reps.schema["rep"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
-    def pairs_of(group: pa.Table) -> tuple[pa.Array, pa.Array] | None:
+    def pairs_of(group: pa.Table) -> list[pa.Array] | None:
         sig, size = _signatures(group.column("sig")), group.column("n_shingles").to_numpy()
         comp, t = group.column("component").to_numpy(), group.column("t").to_numpy()
         split = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("shingles").combine_chunks()]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
         left, right = [], []
         for x in range(len(comp)):
             meets = comp != comp[x]
             meets &= (t > t[x]) if split else np.arange(len(comp)) > x
             (ys,) = meets.nonzero()
-            if len(ys):
-                ys = ys[plausible(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], np.full(len(ys), size[x]), size[ys], steps, options.percent)]
-                left.append(np.full(len(ys), x))
-                right.append(ys)
-        if not left:
-            return None
+            if not len(ys):
+                continue
+            ys = ys[plausible(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], np.full(len(ys), size[x]), size[ys], steps, options.percent)]
+            for y in ys[np.argsort(-(sig[ys] == sig[x]).sum(axis=1), kind="stable")].tolist():
+                a, b = find(int(comp[x])), find(int(comp[y]))
+                if a != b and linked(sets[x], sets[y], options.percent):
+                    root[max(a, b)] = min(a, b)
+                    left.append(x)
+                    right.append(y)
         ids = group.column("id").combine_chunks()
-        return ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right)))
+        return [ids.take(pa.array(v, pa.int64())) for v in (left, right)] if left else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -252,7 +277,7 @@ def _across(buckets: DataFrame, reps: DataFrame, options: Options) -> DataFrame:
             cuts = [0, *((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)).nonzero()[0] + 1, len(key)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if (e < len(key) or last) and (found := pairs_of(got.slice(s, e - s))):
-                    yield pa.RecordBatch.from_arrays(list(found), names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays(found, names=["a", "b"])
             held = [] if last else got.slice(cuts[-2]).to_batches()
 
         for batch in batches:
@@ -272,9 +297,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     reps = written(classes, "classes")
 
-    banded = reps.select("rep", F.explode("keys").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    multi = written(banded.join(sizes, "key").select("key", F.col("rep").alias("id"), "n"), "buckets")
+    banded = reps.select("rep", "n_shingles", F.explode("keys").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).where("n > 1")
+    multi = written(banded.join(sizes, "key").select("key", F.col("rep").alias("id"), "n", "w"), "buckets")
     central = multi.groupBy("id").agg(F.sum("n").alias("c"))
     hubs = multi.join(central, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("c"), F.col("id"))).alias("hub"))
     pairs = multi.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -282,11 +307,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = components(links)
 
     placed = multi.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("n").alias("size")).where("lo <> hi AND size > 2").select("key")
-    more = _across(placed.join(mixed, "key"), reps, options)
-    left = written(more.join(pairs, ["a", "b"], "left_anti"), "survivors")
-    if not left.isEmpty():
-        found = written(_verify(left, docs, id_col, text_col, options), "links")
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    mixed = placed.where("n > 2").groupBy("key", "n", "w").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *marks).where("lo <> hi")
+    once = mixed.groupBy("n", "w", "x1", "x2").agg(F.min("key").alias("key"))  # buckets with the same members are compared once
+    tiles = F.ceil(F.greatest(F.col("n") / F.lit(options.tile), F.col("w") / F.lit(options.tile_shingles))).cast("int")
+    found = written(_across(placed.select("key", "id", "component").join(once.select("key", tiles.alias("tiles")), "key"), reps, docs, id_col, text_col, options), "links")
+    if not found.isEmpty():
         joined = components(links.unionByName(found))
 
     named = reps.select("set_key", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

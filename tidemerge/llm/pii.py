@@ -3,7 +3,7 @@
 Base patterns give spans that always stay. Besides them, generators with high recall propose spans that may overlap: addresses with
 written-out signs, runs of digits of any grouping, and account codes. Each candidate gets format features (digits, groups, separators,
 checksum, first sign) and context features (words just before, the characters around). Boosted trees over these, fitted here, give a
-margin, and a threshold for each generator, calibrated on the fitting data, selects what is added.
+margin, and a threshold for each generator, calibrated on the labelled examples, selects what is added.
 
 The trees learn from labelled examples and from a bounded sample of the corpus in which base spans are the positive cases. All
 features take few values, so the sample is one aggregate: counts for each combination that occurs. The driver fits on those counts
@@ -268,13 +268,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", opti
     given = F.explode(F.array(*[F.struct(F.lit(i).alias("doc_id"), F.lit(t).alias("text"), F.lit(bool(y)).alias("y")) for i, (t, y) in enumerate(EXAMPLES)]))
     examples = spark.range(1).select(given.alias("x")).select("x.*")
     labelled = with_candidates(with_base(examples, "doc_id", "text")).join(F.broadcast(examples.select("doc_id", "y")), "doc_id")
-    for k, v in _cells(labelled, F.col("y"), options.example_weight).items():
+    given_cells = _cells(labelled, F.col("y"), options.example_weight)
+    known = sum(map(sum, given_cells.values()))
+    scale = min(1.0, known / max(1.0, sum(map(sum, cells.values()))))  # the sample weighs no more than the examples
+    cells = {k: [scale * x for x in v] for k, v in cells.items()}
+    for k, v in given_cells.items():
         own = cells.setdefault(k, [0.0, 0.0])
         own[0] += v[0]
         own[1] += v[1]
     ordered = [(k, *v) for k, v in sorted(cells.items())]
     trees = boost(ordered, options)
-    return Model(trees, calibrate(trees, ordered, options))
+    return Model(trees, calibrate(trees, [(k, *v) for k, v in sorted(given_cells.items())], options))
 
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, options: Options = Options()) -> DataFrame:

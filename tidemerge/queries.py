@@ -136,11 +136,11 @@ RIGHTS = {"all": Rights(), "none": Rights(False, False, False, False), "no_add":
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({decided(SyncOptions(rights=r))} SELECT '{n}' AS rights, push_kind, count(*) AS n FROM dec WHERE push_kind IS NOT NULL GROUP BY push_kind)" for n, r in RIGHTS.items()))
 def rights_matrix(spark, sf):
-    out = None
+    rows = []  # at most four kinds for each set of rights; one plan for all sets takes minutes to optimise
     for name, rights in RIGHTS.items():
-        one = merge.pushes(_full(spark, sf, SyncOptions(rights=rights))).groupBy(F.col("kind").alias("push_kind")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rights"), "push_kind", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+        kinds = merge.pushes(_full(spark, sf, SyncOptions(rights=rights))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+        rows += [(name, r["kind"], r["n"]) for r in kinds.collect()]
+    return spark.createDataFrame(rows, "rights string, push_kind string, n long")
 
 
 @query(decided(SyncOptions(conflict=PREFER_LOCAL)) + """SELECT collection, handle, push_kind AS kind, CASE WHEN push_kind = 'Add' THEN link END AS link_id, CASE push_kind WHEN 'Add' THEN array_to_string(lf, ',') WHEN 'SetFlags' THEN array_to_string(merged, ',') END AS flags,

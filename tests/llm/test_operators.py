@@ -103,6 +103,22 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_ranks_equal_power_iteration(spark):
+    """Dense power iteration in which a host without links hands its mass back to the seeds."""
+    edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("b", "d", 3), ("e", "a", 1)]
+    hosts, seeds = "abcde", {"a": 1.0, "e": 3.0}
+    home = [seeds.get(h, 0.0) / 4 for h in hosts]
+    out = {h: sum(n for s, _, n in edges if s == h) for h in hosts}
+    rank = home
+    for _ in range(200):
+        lost = sum(r for h, r in zip(hosts, rank) if not out[h])
+        rank = [0.15 * s + 0.85 * (lost * s + sum(n / out[a] * rank[hosts.index(a)] for a, b, n in edges if b == h)) for h, s in zip(hosts, home)]
+    given = spark.createDataFrame(edges, "src string, dst string, n long")
+    trusted = spark.createDataFrame([(h, w, 0.0) for h, w in seeds.items()], "host string, trusted double, blocked double")
+    got = {r.host: r.trust for r in urls.propagate(given, trusted, urls.Options(steps=60)).collect()}
+    assert got == pytest.approx(dict(zip(hosts, rank)), abs=1e-3)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 5, "assistant", "\\")]
     got = {r.conv_id: r for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=2).collect()}

@@ -90,7 +90,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, options: Options = Options()) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trusted, blocked: weights of at least 0).
 
-    Mass that reaches a host without further edges returns to the seeds. Hosts that no mass reaches are not listed.
+    Mass that reaches a host without further edges returns to the seeds: it is left out of the steps, and ranks are scaled to a sum
+    of one for each kind in the end, which gives the same fixed point. Hosts that no mass reaches are not listed.
     """
     start = written(seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trusted").cast("double").alias("w")), F.struct(F.lit(1).alias("kind"), F.col("blocked").cast("double").alias("w")))).alias("x")).select("x.kind", "host", "x.w").where("w > 0"), "seeds")
     total = {r["kind"]: r["w"] for r in start.groupBy("kind").agg(F.sum("w").alias("w")).collect()}
@@ -104,9 +105,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, options: Options = Options())
         sent = ranks.join(moves, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((options.damping * F.sum(F.col("r") * F.col("part"))).alias("r"))
         lost = 1.0 - options.damping
         ranks = sent.unionByName(home.select("kind", "host", (F.lit(lost) * F.col("s")).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if (step + 1) % options.cut_every == 0:
+        if (step + 1) % options.cut_every == 0 and step + 1 < options.steps:
             ranks = written(ranks, "ranks")
-    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0))
+    ranks = written(ranks, "ranks")
+    whole = {r["kind"]: r["w"] for r in ranks.groupBy("kind").agg(F.sum("r").alias("w")).collect()}  # at most two rows
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)) / F.lit(whole.get(k, 1.0))
     return ranks.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
 
 

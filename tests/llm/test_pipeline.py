@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from tidemerge.llm import mixing, packing, secret_scan
+from tidemerge.llm import mixing, neardup, packing, secret_scan
 
 ENGLISH = "the old keeper walked along the quiet harbour and counted the {} boats that came home before the storm while the children of the village waited on the wall with their lanterns"
 FRENCH = "le vieux gardien marchait le long du port tranquille et comptait les {} bateaux qui rentraient avant la tempête pendant que les enfants du village attendaient sur le mur"
@@ -87,3 +87,16 @@ def test_sequences_are_gapless(packed):
 def test_an_empty_table_gives_an_empty_result(spark, tmp_path):
     pq.write_table(pa.Table.from_pylist(fixture()).slice(0, 0), tmp_path / "documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_from_80_percent_on_go(spark):
+    """Brute force at 80: pairs that share from 70 to 90 percent of their shingles, each in words of its own."""
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[: 80 + i // 2], *(f"v{i}x{k}" for k in range(i // 4))]))]
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {i: 100 * len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)}
+    assert sum(80 <= a < 85 for a in alike.values()) > 5 and min(alike.values()) < 80 and max(alike.values()) > 85
+    got = {r.doc_id for r in neardup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {i for i in sets if i % 2 == 0 or alike[i - 1] < 80}

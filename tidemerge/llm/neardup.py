@@ -10,7 +10,8 @@
    most ``tile`` rows (and ``tile_shingles`` shingles, on average) a side, again by the signature first and exactly then, so no link
    is lost to the choice of a hub. A block reports links only as far as they join components, at most one for each row.
 
-Band parameters: a pair at the threshold 0.85 shares no band with probability (1 - 0.85^6)^30, below one in a million.
+Band parameters: a pair at the query's threshold 0.85 shares no band with probability (1 - 0.85^6)^30, a pair at the pipeline's 0.80
+with (1 - 0.80^6)^50; both are below one in a million.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing. Fewer words than a shingle: the whole
 sequence is the one shingle. Very long texts are hashed whole; signatures work in slices. Repeated rows are copies of one another;
@@ -321,9 +322,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return known.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+#: The pipeline's stage links from 0.80 on; 0.85 is the contract of the query alone.
+STAGE = Options(percent=80, bands=50)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; of rows with one id, one stays. Columns stay as they are."""
-    judged = near_duplicates(docs)
+    judged = near_duplicates(docs, options=STAGE)
     gone = written(judged.where("NOT kept").select("doc_id").distinct(), "dropped")
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -119,6 +119,19 @@ def test_ranks_equal_power_iteration(spark):
     assert got == pytest.approx(dict(zip(hosts, rank)), abs=1e-3)
 
 
+def test_production_options_reach_the_fixed_point(spark):
+    """A chain h14 -> ... -> h1 -> h0 with one blocked seed h0: distrust of h_k is 0.15 * 0.85^k, scaled to a sum of one; and a ring,
+    around which trust flows without end."""
+    edges = [(f"h{k}", f"h{k - 1}", 1) for k in range(1, 15)] + [(f"r{k}", f"r{(k + 1) % 20}", 1) for k in range(20)]
+    seeds = spark.createDataFrame([("h0", 0.0, 1.0), ("r0", 1.0, 0.0)], "host string, trusted double, blocked double")
+    ranks = urls.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds).collect()
+    distrust, trust = ({r.host: r[kind] for r in ranks if r[kind]} for kind in ("distrust", "trust"))
+    assert distrust == pytest.approx({f"h{k}": 0.85**k / sum(0.85**j for j in range(15)) for k in range(15)}, abs=1e-4)
+    assert trust == pytest.approx({f"r{k}": 0.15 * 0.85**k / (1 - 0.85**20) for k in range(20)}, abs=1e-4)
+    blocked = urls.blocked_hosts(spark.createDataFrame(ranks), seeds).collect()
+    assert {r.host for r in blocked} == {f"h{k}" for k in range(15) if distrust[f"h{k}"] >= 0.05} and len(blocked) == 8
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 5, "assistant", "\\")]
     got = {r.conv_id: r for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=2).collect()}

@@ -3,7 +3,8 @@
 Links in the pages' markup give edges between hosts, counted before they are shuffled. Trust flows from trusted seeds along links
 (personalised PageRank), distrust from blocked seeds against them: who links to a bad host is suspect. Both run in one iteration over
 one table, keyed by direction and host. A host whose distrust, set against its trust, passes the threshold is blocked; a rule for
-the url always goes first. Ranks are cut from their lineage in the shared folder every few steps.
+the url always goes first. Steps are taken until the ranks stand still; every few, the ranks are cut from their lineage in the shared
+folder and compared with those a step before.
 
 Defined results: a null url or one without :// has empty host and path, no rule fits it, and it is allowed unless the empty host is
 blocked by the graph, which holds no empty host. Null or empty html gives no links. Repeated rows are judged alike; their links
@@ -40,12 +41,14 @@ RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Ru
 
 @dataclass(frozen=True)
 class Options:
-    """damping: share that flows on; steps: rounds, of which each changes a rank by at most damping^step; threshold: a host is
-    blocked if its distrust is over threshold times its trust and at least floor times the mean of a seed; seed_share: a host is a
-    seed if rules give that share of all its pages one verdict."""
+    """damping: share that flows on, below one; tolerance: steps end when the summed change of the ranks of each kind is below this
+    share of floor times the mean of a seed; steps: most rounds, if given; threshold: a host is blocked if its distrust is over
+    threshold times its trust and at least floor times the mean of a seed; seed_share: a host is a seed if rules give that share of
+    all its pages one verdict."""
 
     damping: float = 0.85
-    steps: int = 12
+    tolerance: float = 1e-4
+    steps: int | None = None
     cut_every: int = 4
     threshold: float = 2.0
     floor: float = 0.05
@@ -94,20 +97,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, options: Options = Options())
     of one for each kind in the end, which gives the same fixed point. Hosts that no mass reaches are not listed.
     """
     start = written(seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trusted").cast("double").alias("w")), F.struct(F.lit(1).alias("kind"), F.col("blocked").cast("double").alias("w")))).alias("x")).select("x.kind", "host", "x.w").where("w > 0"), "seeds")
-    total = {r["kind"]: r["w"] for r in start.groupBy("kind").agg(F.sum("w").alias("w")).collect()}
+    seeded = start.groupBy("kind").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()  # at most two rows
+    total = {r["kind"]: r["w"] for r in seeded}
+    least = max(options.tolerance * options.floor / max((r["n"] for r in seeded), default=1), 1e-14)  # below it, sums of doubles differ by their order
     share = F.when(F.col("kind") == 0, F.col("w") / F.lit(total.get(0, 1.0))).otherwise(F.col("w") / F.lit(total.get(1, 1.0)))
     home = start.select("kind", "host", share.alias("s"))
     flows = edges.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
     out_n = flows.groupBy("kind", "host").agg(F.sum("n").alias("out"))
     moves = written(flows.join(out_n, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("out")).alias("part")), "host-edges")
     ranks = home.select("kind", "host", F.col("s").alias("r"))
-    for step in range(options.steps if not moves.isEmpty() else 0):
-        sent = ranks.join(moves, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((options.damping * F.sum(F.col("r") * F.col("part"))).alias("r"))
-        lost = 1.0 - options.damping
-        ranks = sent.unionByName(home.select("kind", "host", (F.lit(lost) * F.col("s")).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if (step + 1) % options.cut_every == 0 and step + 1 < options.steps:
-            ranks = written(ranks, "ranks")
-    ranks = written(ranks, "ranks")
+    step, settled, lost = 0, moves.isEmpty(), 1.0 - options.damping
+    while not settled and step != options.steps:
+        for _ in range(min(options.cut_every, (options.steps or step + options.cut_every) - step)):
+            before, step = ranks, step + 1
+            sent = ranks.join(moves, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((options.damping * F.sum(F.col("r") * F.col("part"))).alias("r"))
+            ranks = sent.unionByName(home.select("kind", "host", (F.lit(lost) * F.col("s")).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        both = ranks.withColumn("old", F.lit(0.0)).unionByName(before.select("kind", "host", F.lit(0.0).alias("r"), F.col("r").alias("old")))
+        ranks = written(both.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("old").alias("old")), "ranks")
+        settled = all(r["c"] < least for r in ranks.groupBy("kind").agg(F.sum(F.abs(F.col("r") - F.col("old"))).alias("c")).collect())
+        ranks = ranks.drop("old")
+    if not step:
+        ranks = written(ranks, "ranks")
     whole = {r["kind"]: r["w"] for r in ranks.groupBy("kind").agg(F.sum("r").alias("w")).collect()}  # at most two rows
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)) / F.lit(whole.get(k, 1.0))
     return ranks.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,15 @@ def test_media(docs, none):
         payload, n = webp.payload_of(t)
         assert (got[i].n_bytes, got[i].payload_sha256) == (n, hashlib.sha256(payload).hexdigest()) and got[i].media_sha256 == got[i + 8].media_sha256
     assert webp.media_rows(none).count() == 0
+
+
+def test_given_media_become_pixels(spark):
+    pixels = np.array([[0xFF102030, 0x80FF0001], [0, 0xFFFFFFFF], [7, 7]], dtype=np.uint32)
+    file = webp.encode(pixels)
+    rows = [(1, file), (2, webp.encode(pixels, webp.GREY) + file), (3, file[:-6]), (4, b"GIF89a"), (5, None), (6, b""), (7, file + b"junk")]
+    got = {(r.doc_id, r.image): r for r in webp.decoded(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert set(got) == {(1, 0), (2, 0), (2, 1), (3, 0), (4, 0), (5, 0), (6, 0), (7, 0), (7, 1)}
+    whole = {k for k, r in got.items() if r.error is None}
+    assert whole == {(1, 0), (2, 0), (2, 1), (7, 0)}
+    assert all((got[k].height, got[k].width, bytes(got[k].pixels)) == (3, 2, pixels.astype("<u4").tobytes()) for k in whole)
+    assert all(r.pixels is None and r.height is None for k, r in got.items() if k not in whole)

@@ -806,5 +806,38 @@ def media_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, schema)
 
 
+def decoded(files: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """A row for each image of each file: id, image (from 0), height, width, pixels (rows of 32-bit ARGB, little-endian) and error.
+
+    Media of several images in turn, as store writes them, give them all. What can't be read gives one row with the reason in error
+    and nulls for the pixels, after those of the images before it; so does a null or empty file.
+    """
+    rows = files.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)])
+    for name, kind in (("image", "integer"), ("height", "integer"), ("width", "integer"), ("pixels", "binary"), ("error", "string")):
+        schema = schema.add(name, kind)
+
+    def images(media: bytes) -> Iterator[tuple]:
+        at = number = 0
+        while at < len(media) or not number:
+            end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+            try:
+                pixels = decode(media[at:end])
+            except (ValueError, IndexError) as e:
+                yield number, None, None, None, str(e)
+                return
+            yield number, *pixels.shape, pixels.astype("<u4").tobytes(), None
+            at, number = end, number + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+        for batch in batches:
+            for i, media in enumerate(batch.column("media")):
+                for found in images(media.as_py() or b""):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *[pa.array([v], k) for v, k in zip(found, kinds, strict=True)]], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_rows(table(spark, sf_dir, "documents"), with_media=False)

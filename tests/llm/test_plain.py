@@ -2,6 +2,8 @@
 
 import base64
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -91,7 +93,23 @@ def test_pruning_keeps_links():
 
 
 def test_boosting_separates():
-    cells = [((0, d, 0, 0, 0, 0, c, 0, 0, 0), 10.0 * (c == 1), 10.0 * (c != 1)) for d in range(5) for c in range(3)]
-    trees = pii.boost(cells, pii.Options())
-    margin = [sum(pii._value(t, x) for t in trees) for x, _, _ in cells]
-    assert min(m for m, c in zip(margin, cells) if c[1]) > 1 > -1 > max(m for m, c in zip(margin, cells) if c[2])
+    x = np.array([[0, d, 0, c] for d in range(5) for c in range(3)])
+    w = np.array([[10.0 * (c != 1), 10.0 * (c == 1)] for d in range(5) for c in range(3)])
+    margin = sum(pii._values(t, x) for t in pii.boost(x, w, pii.Options()))
+    assert margin[x[:, 3] == 1].min() > 1 > -1 > margin[x[:, 3] != 1].max()
+    slope, shift = pii.sigmoid_of(margin, w)
+    assert slope > 0 and 1 / (1 + np.exp(-slope * margin - shift))[x[:, 3] == 1].min() < 1.2
+
+
+def test_no_rule_takes_long_on_long_texts():
+    texts = ["eyJ" * 1_700_000, "-----BEGIN PRIVATE KEY-----" * 190_000, "eyJabcdefghi." * 390_000, "-----BEGIN A B C D " * 270_000, "ghp_" * 1_250_000, "password " * 550_000, "token=" * 830_000, "AKIA" * 1_250_000, "xoxb-" * 1_000_000, "sk_live_" * 620_000, "a" * 5_000_000]
+    for rule in secret_scan.RULES:
+        for text in texts:
+            began = time.perf_counter()
+            sum(1 for _ in re.finditer(rule.pattern, text))
+            assert time.perf_counter() - began < 10, (rule.kind, text[:20])
+
+
+def test_encrypted_private_keys_are_found():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nMIIEow==\n-----END RSA PRIVATE KEY-----"
+    assert [(s, e) for s, k, e in secret_scan.Scanner().scan([f"x {key} y"])[0] if secret_scan.RULES[k].kind == "private_key"] == [(2, 2 + len(key))]

@@ -2,11 +2,14 @@
 
 A template is any function from a list of turns to a string. Successive prefixes of a conversation are rendered and consecutive
 outputs compared: what is new belongs to the last turn, which locates it without knowing the template; an output that does not
-begin with the one before shows a template that rewrites history. The text inside a turn is found by two probes whose texts differ
-in their first character. The loss mask covers the assistant's texts.
+begin with the one before shows a template that rewrites history, and then all turns are located anew in the final output. The text
+inside a turn is found by two probes whose texts differ in their first character. The loss mask covers the assistant's texts.
 
-Rows are sorted by conversation and turn within partitions and streamed, so no conversation is held whole: a long one is rendered in
-blocks of ``block`` turns, each with the last turn before it as context.
+Nothing is assumed of a plain function: every prefix is rendered whole, so a conversation is held whole and costs as many renderings
+as it has turns. A ``Template`` may declare that it only appends (what it puts out for a turn depends on no other turn); then the
+prefixes are rendered from the last turn on, conversations are streamed and may be of any length, and the declaration is held against
+what is rendered. Rows are sorted by conversation and turn within partitions; one conversation is one task's work, because its digests
+are sequential.
 
 Defined results: null text, role or both count as empty; ties in turn go by role, then text; repeated rows are turns of their own.
 A null conversation id is a conversation. An empty table gives an empty result. Other columns are not read.
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 from .common import table
 
 Turn = tuple[str, str]
-Template = Callable[[list[Turn]], str]
+Render = Callable[[list[Turn]], str]
 
 _SIGNS = re.compile(r"[\\#<]")
 _ROLE_SIGNS = re.compile(r"[\\#<:\n]")
@@ -62,10 +65,29 @@ def parse(output: str) -> list[Turn]:
     return turns
 
 
+@dataclass(frozen=True)
+class Template:
+    """render: turns to output. unescape: from a text as it stands in the output to the text that was given. read: from an output to
+    its turns, where there is a reader; without one, texts are read back from where they were located, and roles are those given.
+    appends: what render puts out for a turn depends on no other turn."""
+
+    render: Render
+    unescape: Callable[[str], str] = str
+    read: Callable[[str], list[Turn]] | None = None
+    appends: bool = False
+
+    @staticmethod
+    def of(given: Render | Template) -> Template:
+        return given if isinstance(given, Template) else Template(given)
+
+
+MARKED = Template(marked_turns, unescape, parse, appends=True)
+
+
 @dataclass
 class Rendered:
-    """output: of the prefixes rendered so far; spans: of each turn; texts: where each turn's text lies; rewrote: turns at which
-    the template changed what it had put out before."""
+    """output: of all turns; spans: of each turn; texts: where each turn's text lies; rewrote: turns at which the template changed
+    what it had put out before. After a rewriting a turn's span is that of its text."""
 
     output: str = ""
     spans: list[tuple[int, int]] = field(default_factory=list)
@@ -84,32 +106,41 @@ def _shared(a: str, b: str) -> int:
     return lo
 
 
-def render_incrementally(turns: list[Turn], template: Template) -> Rendered:
+def _text_at(turns: list[Turn], k: int, whole: str, render: Render) -> tuple[int, int]:
+    """Where the text of turn k lies in whole, the output of turns; an empty span if the output doesn't depend on it."""
+    role = turns[k][0]
+    a, b = (render([*turns[:k], (role, probe), *turns[k + 1 :]]) for probe in "ab")
+    at = _shared(a, b)
+    return at, at + (max(0, len(whole) - len(a) + 1) if a != b else 0)
+
+
+def render_incrementally(turns: list[Turn], template: Render | Template) -> Rendered:
     """Render every prefix of turns and locate each turn in the last output."""
-    out = Rendered()
-    for k, (role, text) in enumerate(turns):
-        before, now = turns[:k], template(turns[: k + 1])
+    render, out = Template.of(template).render, Rendered()
+    for k in range(len(turns)):
+        now = render(turns[: k + 1])
         start = _shared(out.output, now)
         if start < len(out.output):
             out.rewrote.append(k)
-            out.spans = [(min(s, start), min(e, start)) for s, e in out.spans]
-            out.texts = [(min(s, start), min(e, start)) for s, e in out.texts]
-        at = _shared(template([*before, (role, "a")]), template([*before, (role, "b")]))
-        size = len(now) - len(template([*before, (role, "")]))
         out.output = now
         out.spans.append((start, len(now)))
-        out.texts.append((at, at + max(0, size)))
+        if not out.rewrote:
+            out.texts.append(_text_at(turns[: k + 1], k, now, render))
+    if out.rewrote:
+        out.texts = [_text_at(turns, k, out.output, render) for k in range(len(turns))]
+        out.spans = out.texts.copy()
     return out
 
 
 class Conversation:
-    """One conversation, fed turn by turn; holds at most a block of turns."""
+    """One conversation, fed turn by turn. If the template appends, it is worked off every ``block`` turns, which bounds memory and
+    changes no result; else when it ends."""
 
     def __init__(self, template: Template, block: int):
-        self.template, self.block = template, block
+        self.template, self.block = template, block if template.appends else None
         self.context: list[Turn] = []
         self.held: list[Turn] = []
-        self.turns = self.chars = self.loss = self.rewrote = 0
+        self.turns = self.chars = self.loss = self.rewrote = self.unread = 0
         self.read, self.learned = hashlib.sha256(), hashlib.sha256()
 
     def add(self, role: str, text: str) -> None:
@@ -122,32 +153,37 @@ class Conversation:
             return
         skip = len(self.context)
         done = render_incrementally([*self.context, *self.held], self.template)
-        begin = done.spans[skip][0]
+        begin = done.spans[skip][0] if skip else 0
+        if self.template.appends and done.output[begin:] != self.template.render(self.held):
+            raise ValueError("the template is declared to append, but what it puts out depends on other turns")
         self.chars += len(done.output) - begin
         self.rewrote += sum(k >= skip for k in done.rewrote)
-        got = parse(done.output[begin:])
-        for (role, text), (s, e) in zip(got, done.texts[skip:], strict=True):
+        located = [self.template.unescape(done.output[s:e]) for s, e in done.texts[skip:]]
+        got = self.template.read(done.output[begin:]) if self.template.read else [(role, text) for (role, _), text in zip(self.held, located, strict=True)]
+        for (role, text), given, learned in zip(got, self.held, located, strict=True):
             self.turns += 1
+            self.unread += (role, text) != given
             self.read.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if role == ASSISTANT:
-                learned = unescape(done.output[s:e])
                 self.loss += len(learned)
                 self.learned.update(learned.encode("utf-8", "surrogatepass"))
         self.context, self.held = self.held[-1:], []
 
     def row(self) -> tuple:
         self.flush()
-        return self.turns, self.read.hexdigest(), self.loss, self.learned.hexdigest(), self.chars, self.rewrote
+        return self.turns, self.read.hexdigest(), self.loss, self.learned.hexdigest(), self.chars, self.rewrote, self.unread
+
 
+FOUND = (("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long"), ("rewritten_turns", "long"), ("unread_turns", "long"))
 
-def formatted(rows: DataFrame, *, template: Template = marked_turns, block: int = 64) -> DataFrame:
-    """A row for each conv_id of rows (conv_id, turn, role, text): what a reader of the formatted output gets back from it.
 
-    block bounds memory and the work on prefixes; a template that looks further back than one turn shows up as rewriting.
-    """
+def formatted(rows: DataFrame, *, template: Render | Template = MARKED, block: int = 16) -> DataFrame:
+    """A row for each conv_id of rows (conv_id, turn, role, text): what a reader of the formatted output gets back from it, at how many
+    turns the template rewrote history, and how many turns did not come back as they were given."""
+    template = Template.of(template)
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["conv_id"]])
-    for name, kind in (("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long"), ("rewritten_turns", "long")):
+    for name, kind in FOUND:
         schema = schema.add(name, kind)
     sorted_rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -181,7 +217,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return formatted(rows.unionByName(extra)).drop("rewritten_turns")
+    return formatted(rows.unionByName(extra)).drop("rewritten_turns", "unread_turns")
 
 
 # Only \, # and < are escaped in texts; a header has 4 + 2 signs, the end of a turn 8.

@@ -5,8 +5,8 @@ texts in sparse numpy batches: every n-gram is one gather from the matrix, every
 
 Defined results: a null text, an empty text or a text without a letter is ``und`` with score 0. Very long texts are scored in
 pieces that overlap by two characters, so no n-gram is lost and memory stays bounded. Repeated rows get equal answers. With an
-empty table, or no labelled row, nothing is learned and every text is ``und``. Only the id, text and label columns are read, so
-other columns may have any name.
+empty table, or no labelled row, nothing is learned and every text is ``und``. Only the id, text and label columns are read. Other
+columns may have any name in the stage; ``predict`` refuses to keep one that is named like its own results.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import col, numbered, slices, table
 
 UNDEFINED = "und"
 PIECE = 1 << 19
@@ -27,8 +27,9 @@ PIECE = 1 << 19
 
 @dataclass(frozen=True)
 class Options:
-    """max_docs_per_lang bounds the labelled sample, lowest hash of the id first; evidence is the number of n-grams at which
-    a posterior stops sharpening, so that long texts do not all score 1; max_langs bounds the broadcast matrix."""
+    """max_docs_per_lang bounds the labelled sample on average: of a label with more rows, a share is taken by a hash of id and text.
+    max_langs bounds the broadcast matrix: of more labels, the commonest are learned. evidence is the number of n-grams at which a
+    posterior stops sharpening, so that long texts do not all score 1."""
 
     bits: int = 15
     sizes: tuple[int, ...] = (1, 2, 3)
@@ -98,21 +99,18 @@ def _block(docs: list[int], parts: list[str], lens: list[int], options: Options)
 
 
 def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, allowed: Column | None = None, options: Options = Options()) -> Model:
-    """Learn from the rows with a label for which allowed holds, at most max_docs_per_lang of them for each language."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (allowed if allowed is not None else F.lit(True)).alias("ok"))
-    rows = rows.where("ok AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.abs(F.xxhash64("id")).alias("h"), "id")
-    counted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(options.max_langs + 1).collect()}
-    if len(counted) > options.max_langs:
-        raise ValueError(f"more than {options.max_langs} languages are labelled")
+    """Learn from the rows with a label for which allowed holds, about max_docs_per_lang of them for each language. The sample is a
+    filter on the rows, so texts are never shuffled."""
+    rows = docs.select(col(id_col).cast("string").alias("id"), col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"), (allowed if allowed is not None else F.lit(True)).alias("ok"))
+    rows = rows.where("ok AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", "id")
+    counted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(options.max_langs).collect()}
     langs = sorted(counted)
     size = 1 << options.bits
     if not langs:
         return Model([], np.zeros((0, size)), options)
-    share = F.create_map(*[x for k, n in counted.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * options.max_docs_per_lang / n)))])
-    likely = rows.where((F.col("h") % 1_000_003) / 1_000_003.0 <= F.element_at(share, F.col("lang")))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    sample = likely.withColumn("r", F.row_number().over(first)).where(F.col("r") <= options.max_docs_per_lang).select("lang", "text")
+    share = F.create_map(*[x for k, n in counted.items() for x in (F.lit(k), F.lit(min(1.0, options.max_docs_per_lang / n)))])
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003
+    sample = rows.where(F.col("lang").isin(*langs) & drawn).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -157,33 +155,42 @@ def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.
     return [model.langs[b] if ok else UNDEFINED for b, ok in zip(best, letters, strict=True)], np.round(score, 6)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str, keep: list[str]) -> DataFrame:
-    """The kept columns with lang_pred and score; one pass, no shuffle, the matrix broadcast (languages x buckets doubles)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+def _predicted(rows: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
+    """The kept ones of rows' columns, which are numbered(), with lang_pred and score; text names their column of texts. One pass, no
+    shuffle, the matrix broadcast (languages x buckets doubles)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch, "__text"):
+            for lo, hi in slices(batch, text):
                 part = batch.slice(lo, hi - lo)
-                langs, score = predict_texts(part.column("__text").to_pylist(), shared.value)
+                langs, score = predict_texts(part.column(text).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 
 
+def predict(docs: DataFrame, model: Model, *, text_col: str, keep: list[str]) -> DataFrame:
+    """The kept columns with lang_pred and score."""
+    if {"lang_pred", "score"} & set(keep):
+        raise ValueError("kept columns can't be named lang_pred or score")
+    rows = numbered(docs.select(*[col(c) for c in keep], col(text_col)))
+    return _predicted(rows, model, rows.columns[-1], rows.columns[:-1]).toDF(*keep, "lang_pred", "score")
+
+
 def held_out(id_col: str) -> Column:
     """Whether a document is kept from learning; a null id never is held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
     """Documents in a language that is known with at least min_score; the columns stay as they are."""
     model = fit(docs, id_col="doc_id", text_col="text", lang_col="lang", allowed=~held_out("doc_id"))
     names = docs.columns
-    judged = predict(docs.select(*names), model, text_col="text", keep=names)
-    return judged.where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= min_score)).select(*names)
+    rows = numbered(docs)
+    judged = _predicted(rows, model, rows.columns[names.index("text")], rows.columns)
+    return judged.where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= min_score)).drop("lang_pred", "score").toDF(*names)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ handful of numbers for its source, so documents are not shuffled.
 
 Defined results: a null source counts as the empty source. Null or empty texts have no tokens; a source without tokens has no weight
 and is left out. Very long texts may pass the rest of a quota, which then stays unused. Repeated rows (rows with one id) are taken or
-left together. Ties in hashed order count as one document. An empty table gives an empty result. Extra columns are kept; columns
-named __mix_* are not allowed in the input.
+left together. Ties in hashed order count as one document. An empty table gives an empty result. Extra columns are kept, whatever
+their names; only ``mix`` itself, which adds columns named __mix_*, refuses an input that has one of these.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import numbered, table, written
 
 STEPS = 16
 GRID = STEPS**3
+SPAN_BITS = 48  # of the 60 bits that order the blocks, so many stay within a span: 4096 spans a source
 
 
 @dataclass(frozen=True)
@@ -114,8 +115,12 @@ def plan(docs: DataFrame, *, source: Column, tokens: Column, key: Column, option
 
     placed = rows.join(sized.select("source", "blocks"), "source").withColumn("block", F.pmod("k", F.col("blocks")))
     blocks = placed.groupBy("source", "block").agg(F.sum("n").alias("n")).withColumn("o", _hash(options.seed, F.col("source"), F.col("block")))
-    before = Window.partitionBy("source").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, -1)
-    summed = blocks.withColumn("sum", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # Blocks are summed in two levels, so that a source with many of them is no one task's work.
+    blocks = written(blocks.withColumn("span", F.shiftright("o", SPAN_BITS)), "mix-blocks")
+    earlier = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = blocks.groupBy("source", "span").agg(F.sum("n").alias("n")).select("source", "span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    before = Window.partitionBy("source", "span").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, -1)
+    summed = blocks.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0))).join(spans, ["source", "span"]).withColumn("sum", F.col("ahead") + F.col("own"))
     cut = summed.join(sized.select("source", (F.col("quota") - F.col("whole") * F.col("t")).alias("rest")), "source").where("sum <= rest AND sum + n > rest")
     cut = written(cut.select("source", F.col("block").alias("cut_block"), F.col("o").alias("cut_order"), (F.col("rest") - F.col("sum")).alias("left")), "mix-cuts")
     inside = placed.select("source", "n", "k", F.col("block").alias("cut_block")).join(cut, ["source", "cut_block"]).groupBy("source", "k", "left").agg(F.sum("n").alias("n"))
@@ -129,11 +134,13 @@ def _send(sources: DataFrame, n: int, options: Options) -> DataFrame:
     return F.broadcast(sources) if n <= options.broadcast_sources else sources
 
 
-def mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_id", tokens: Column | None = None, options: Options = Options()) -> DataFrame:
-    """The rows of docs as often as the mixture takes them, with __mix_source, __mix_epoch (from 1), __mix_block and __mix_order."""
-    tokens = word_count(F.col("text")) if tokens is None else tokens
-    sources, n = plan(docs, source=F.col(source_col), tokens=tokens, key=F.col(id_col), options=options)
-    marked = docs.withColumn("__mix_source", F.coalesce(F.col(source_col), F.lit(""))).withColumn("__mix_order", _hash(options.seed, F.col(id_col)))
+ADDED = ("source", "epoch", "block", "order")
+
+
+def _mixed(rows: DataFrame, source: str, key: str, tokens: Column, options: Options) -> DataFrame:
+    """rows, whose columns are numbered(), as often as the mixture takes them, with the columns of ADDED as __mix_*."""
+    sources, n = plan(rows, source=F.col(source), tokens=tokens, key=F.col(key), options=options)
+    marked = rows.withColumn("__mix_source", F.coalesce(F.col(source), F.lit(""))).withColumn("__mix_order", _hash(options.seed, F.col(key)))
     numbers = _send(sources.select(F.col("source").alias("__mix_source"), *[F.col(c).alias(f"__mix_{c}") for c in ("whole", "blocks", "cut_order", "cut_block", "cut_key")]), n, options)
     both = marked.join(numbers, "__mix_source").withColumn("__mix_block", F.pmod("__mix_order", F.col("__mix_blocks")))
     at = F.struct(_hash(options.seed, F.col("__mix_source"), F.col("__mix_block")), F.col("__mix_block"))
@@ -141,17 +148,32 @@ def mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_id",
     more = (at < cut) | ((at == cut) & (F.col("__mix_order") <= F.col("__mix_cut_key")))
     times = (F.col("__mix_whole") + F.when(F.col("__mix_cut_block").isNotNull() & more, 1).otherwise(0)).cast("int")
     out = both.withColumn("__mix_times", times).where("__mix_times > 0").withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
-    return out.select(*docs.columns, "__mix_source", "__mix_epoch", "__mix_block", "__mix_order")
+    return out.select(*rows.columns, *[f"__mix_{c}" for c in ADDED])
+
+
+def mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, options: Options = Options()) -> DataFrame:
+    """The rows of docs as often as the mixture takes them, with __mix_source, __mix_epoch (from 1), __mix_block and __mix_order.
+    tokens_col names a column that counts tokens; without one, the words of text_col count."""
+    extra = [f"__mix_{c}" for c in ADDED]
+    if clash := set(extra) & set(docs.columns):
+        raise ValueError(f"the input has columns named like results: {sorted(clash)}")
+    return _taken(docs, source_col, id_col, text_col, tokens_col, options).toDF(*docs.columns, *extra)
+
+
+def _taken(docs: DataFrame, source_col: str, id_col: str, text_col: str, tokens_col: str | None, options: Options) -> DataFrame:
+    rows, at = numbered(docs), dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns))), strict=True))
+    tokens = word_count(F.col(at[text_col])) if tokens_col is None else F.col(at[tokens_col])
+    return _mixed(rows, at[source_col], at[id_col], tokens, options)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them; the columns stay as they are."""
-    return mix(docs).select(*docs.columns)
+    return _taken(docs, "source", "doc_id", "text", None, Options()).drop(*[f"__mix_{c}" for c in ADDED]).toDF(*docs.columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("tokens"))
-    out = mix(docs, tokens=F.col("tokens"))
+    out = mix(docs, tokens_col="tokens")
     return out.select("doc_id", F.col("__mix_source").alias("source"), "tokens", F.col("__mix_epoch").alias("epoch"), F.col("__mix_block").alias("block"), F.col("__mix_order").alias("order_key"))
 
 

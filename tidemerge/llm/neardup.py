@@ -9,6 +9,9 @@
 4. A bucket whose members then lie in one component is done. In the others the pairs across components are compared in blocks of at
    most ``tile`` rows (and ``tile_shingles`` shingles, on average) a side, again by the signature first and exactly then, so no link
    is lost to the choice of a hub. A block reports links only as far as they join components, at most one for each row.
+5. Mixed buckets of more than ``split`` members are first dealt anew, without loss: shingles are ordered by how many of these
+   documents hold them, and two sets that reach the threshold share one of their rarest 100 - percent in a hundred. Documents meet
+   only where they share such a rare shingle, so a passage that millions of else different texts share brings none of them together.
 
 Band parameters: a pair at the query's threshold 0.85 shares no band with probability (1 - 0.85^6)^30, a pair at the pipeline's 0.80
 with (1 - 0.80^6)^50; both are below one in a million.
@@ -16,7 +19,7 @@ with (1 - 0.80^6)^50; both are below one in a million.
 Defined results: null, empty or blank text has no shingles and is linked with nothing. Fewer words than a shingle: the whole
 sequence is the one shingle. Very long texts are hashed whole; signatures work in slices. Repeated rows are copies of one another;
 rows with one id count as one document. A row without an id is a document of its own and stays. An empty table gives an empty
-result. Only the id and text columns are read.
+result. Only the id and text columns are read; ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, written
+from .common import col, discard, slices, table, written, written_at
 
 
 @dataclass(frozen=True)
@@ -43,8 +46,9 @@ class Options:
     rows: int = 6
     batch: int = 30
     miss: float = 1e-6
-    tile: int = 1024
+    tile: int = 384
     tile_shingles: int = 1 << 20
+    split: int = 2048
     seed: int = 20240229
 
     @property
@@ -92,7 +96,7 @@ class Sketcher:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
     """doc_id, n_shingles, set_key, signature (16 bits of each hash) and band keys."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("n_shingles", "long").add("set_key", "binary").add("sig", "binary").add("keys", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +153,11 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(got), dtype=np.uint16).reshape(len(got), -1)
 
 
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def _prune(pairs: DataFrame, reps: DataFrame, options: Options) -> DataFrame:
     """Pairs (a, b) that the signatures don't rule out."""
     sig = reps.select("rep", "n_shingles", "sig")
@@ -166,7 +175,7 @@ def _prune(pairs: DataFrame, reps: DataFrame, options: Options) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
     """(id, shingles): full sets, made anew, only for the ids given."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").where("text IS NOT NULL")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(ids, "id", "left_semi").where("text IS NOT NULL")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("shingles", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,27 +209,62 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, optio
     return both.mapInArrow(compare, pairs.schema)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that can be reached over links (a, b); only ids with a link are listed."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that can be reached over links (a, b); only ids with a link are listed. Rounds are taken until
+    nothing changes, about as many as the logarithm of the longest chain."""
+    edges, held = written_at(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("u <> m").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         below = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = below.groupBy("u").agg(F.min("v").alias("m"))
         small = below.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
+        edges, new = written_at(small, "edges")
+        discard(edges.sparkSession, held)
+        held = new
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def _by_rare_shingles(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
+    """Buckets (key, id, component, n, w) of members (id, component, n_shingles) that share one of their rarest shingles.
+
+    The order of shingles, by how many members hold them and then by value, is one for all members; of a set of n, any other that
+    reaches the threshold holds at least n * percent / 100, so it holds one of the first n - n * percent / 100 + 1."""
+    full = _sets(docs, members.select("id"), id_col, text_col, options)
+    kind = T.StructType([full.schema["id"], T.StructField("key", T.LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, v in enumerate(batch.column("shingles")):
+                found = np.frombuffer(v.as_buffer(), dtype=np.int64)
+                for at in range(0, len(found), 1 << 16):
+                    part = found[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.full(len(part), i))), pa.array(part)], names=["id", "key"])
+
+    held = written(full.mapInArrow(each, kind), "shingles")
+    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = held.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("k"))
+    alone = F.col("n_shingles") - F.size("k")  # shingles of one member alone come first in the order and bring no one together
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * options.percent / 100) + 1
+    rare = members.join(ranked, "id").select("id", "component", "n_shingles", F.explode(F.slice("k", F.lit(1), F.greatest(F.lit(0), first - alone).cast("int"))).alias("x"))
+    rows = written(rare.select("x.key", "id", "component", "n_shingles"), "rare")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).where("n > 1")
+    return rows.select("key", "id", "component").join(sizes, "key")
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(key, n, w) of the buckets (key, id, component, n, w) that hold several components; of those with the same members, one."""
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    mixed = placed.groupBy("key", "n", "w").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *marks).where("lo <> hi")
+    return mixed.groupBy("n", "w", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n", "w")
+
+
 def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
     """Links (a, b) across components within buckets (key, id, component, tiles).
 
@@ -239,7 +283,7 @@ def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
 
     def pairs_of(group: pa.Table) -> list[pa.Array] | None:
         sig, size = _signatures(group.column("sig")), group.column("n_shingles").to_numpy()
-        comp, t = group.column("component").to_numpy(), group.column("t").to_numpy()
+        comp, t = _codes(group.column("component")), group.column("t").to_numpy()
         split = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("shingles").combine_chunks()]
         root: dict[int, int] = {}
@@ -308,11 +352,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = components(links)
 
     placed = multi.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    mixed = placed.where("n > 2").groupBy("key", "n", "w").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *marks).where("lo <> hi")
-    once = mixed.groupBy("n", "w", "x1", "x2").agg(F.min("key").alias("key"))  # buckets with the same members are compared once
+    once = written(_mixed(placed.where("n > 2")), "mixed")
+    whole = placed.select("key", "id", "component").join(once.where(F.col("n") <= options.split), "key")
+    crowded = once.where(F.col("n") > options.split)
+    if not crowded.isEmpty():
+        members = placed.join(crowded.select("key"), "key", "left_semi").select("id", "component").distinct().join(reps.select(F.col("rep").alias("id"), "n_shingles"), "id")
+        rare = written(_by_rare_shingles(written(members, "members"), docs, id_col, text_col, options), "rare-buckets")
+        whole = whole.unionByName(rare.select("key", "id", "component").join(_mixed(rare), "key"))
     tiles = F.ceil(F.greatest(F.col("n") / F.lit(options.tile), F.col("w") / F.lit(options.tile_shingles))).cast("int")
-    found = written(_across(placed.select("key", "id", "component").join(once.select("key", tiles.alias("tiles")), "key"), reps, docs, id_col, text_col, options), "links")
+    found = written(_across(whole.select("key", "id", "component", tiles.alias("tiles")), reps, docs, id_col, text_col, options), "links")
     if not found.isEmpty():
         joined = components(links.unionByName(found))
 
@@ -330,11 +378,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; of rows with one id, one stays. Columns stay as they are."""
     judged = near_duplicates(docs, options=STAGE)
     gone = written(judged.where("NOT kept").select("doc_id").distinct(), "dropped")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(gone, "doc_id", "left_anti").select(*map(col, docs.columns))
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return rest
-    return rest.where("doc_id IS NULL").unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return rest.where(col("doc_id").isNull()).unionByName(rest.where(col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

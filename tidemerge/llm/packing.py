@@ -4,7 +4,9 @@ Documents are tokenised once and cut into pieces of at most ``capacity`` ids. Fu
 cells of bounded size by a hash of their row, each cell is packed by best-fit decreasing, and dual-feasible functions give a lower
 bound for its number of bins. A cell whose count meets the bound is certified. Cells with a gap give back the documents of their
 emptiest bins, and every cell gives back its emptiest bin; what is given back is dealt anew, so that cells exchange documents, and
-packed again, until one cell is left or the rounds are used up. Every piece gets a place in every case.
+packed again, until one cell is left or the rounds are used up. Every piece gets a place in every case. ``certified`` says of each
+piece whether the bins of its cell's last packing were as few as the bound (a full piece needs a bin of its own); ``certificate`` sets
+the number of all sequences against the bound for all pieces together.
 
 Defined results: null or empty text is one id, the end mark 0. A very long text is tokenised in segments parted at spaces and gives
 many pieces. Repeated rows (a repeated or null id) are placed each on its own. Ties in length go by row number. An empty table gives
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, written
+from .common import col, slices, table, written
 
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
@@ -125,7 +127,7 @@ def pieces_of(chunks: Iterator[bytes], capacity: int) -> Iterator[tuple[int, int
 def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
     path = path or tokenizer_path()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +190,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 def _round(rows: DataFrame, cells: int, number: int, capacity: int, release: float, last: bool) -> DataFrame:
     """The rows with sequence_id and offset; null for what is given back."""
     keep = rows.schema.names
-    schema = T.StructType(rows.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType(rows.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("certified", T.BooleanType())])
 
     def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.select(keep).combine_chunks().sort_by("rid")
@@ -196,27 +198,29 @@ def _round(rows: DataFrame, cells: int, number: int, capacity: int, release: flo
         bins, offsets = best_fit_decreasing(lengths, capacity)
         made = int(bins.max()) + 1
         empty = capacity - np.bincount(bins, weights=lengths, minlength=made).astype(np.int64)
-        back = 0 if last else max(1, int(release * made)) if made > lower_bound(lengths, capacity) else 1
+        certified = made == lower_bound(lengths, capacity)
+        back = 0 if last else 1 if certified else max(1, int(release * made))
         given = np.zeros(made, dtype=bool)
         given[np.argsort(-empty, kind="stable")[:back]] = True
         given &= empty > 0
         sequence = (number << 58) + (int(key[0].as_py()) << 24) + bins
         gone = given[bins]
-        return group.append_column("sequence_id", pa.array(sequence, pa.int64(), mask=gone)).append_column("offset", pa.array(offsets, pa.int64(), mask=gone))
+        group = group.append_column("sequence_id", pa.array(sequence, pa.int64(), mask=gone)).append_column("offset", pa.array(offsets, pa.int64(), mask=gone))
+        return group.append_column("certified", pa.array(np.full(len(lengths), certified)))
 
     cell = F.pmod(F.xxhash64("rid", F.lit(number)), F.lit(cells))
     return rows.withColumn("cell", cell).groupBy("cell").applyInArrow(pack, schema)
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, cell_rows: int = 1 << 17, release: float = 0.05, rounds: int = 4) -> DataFrame:
-    """pieces (with a column length) with sequence_id and offset.
+    """pieces (with a column length) with sequence_id, offset and certified.
 
     cell_rows bounds what one task packs; the number of cells follows the input. The rounds shrink quickly: only what cells give
     back is dealt again.
     """
     names = pieces.columns
     rows = written(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
-    placed = [rows.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("rid")).withColumn("offset", F.lit(0).cast("long"))]
+    placed = [rows.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("rid")).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))]
     open_rows = rows.where(F.col("length") < capacity)
     for number in range(1, rounds + 1):
         count = open_rows.count()
@@ -234,7 +238,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, cell_rows: int = 1 << 1
     out = placed[0]
     for x in placed[1:]:
         out = out.unionByName(x)
-    return out.select(*names, "sequence_id", "offset")
+    return out.select(*names, "sequence_id", "offset", "certified")
 
 
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:

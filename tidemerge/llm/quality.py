@@ -23,7 +23,7 @@ from .common import table
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 # The line rules, in expressions that other engines read alike.
-NO_SENTENCE = r"^[^.!?;:,…]*$"
+NO_SENTENCE = r"^[^.!?;:,…।॥؟،؛۔。！？；：，、．।።៖។᙮՞՝։]*$"
 BARS = r"[|»›•·]"
 BOILERPLATE = r"(?i)(cookie (policy|settings|notice)|accept (all )?cookies|enable javascript|javascript is (disabled|required)|all rights reserved|terms (of use|of service|and conditions)|privacy policy|skip to (main )?content|sign up for our newsletter|click here to|lorem ipsum)"
 
@@ -39,7 +39,7 @@ class Options:
 
 def failing(line: Column, options: Options) -> Column:
     """Whether a line that has a word fails a rule."""
-    words = F.size(F.split(F.trim(line), BLANK))
+    words = F.size(F.split(F.trim(line, F.lit(" \t\n\x0b\f\r")), BLANK))
     bars = F.length(line) - F.length(F.regexp_replace(line, BARS, ""))
     signs = F.length(F.regexp_replace(line, r"[\p{L}\p{N}\s]", ""))
     punctuation = ((words >= options.long_line) & line.rlike(NO_SENTENCE)) | (signs > options.max_signs * F.length(line))
@@ -103,7 +103,7 @@ WITH d AS (
 ), c AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM r) GROUP BY doc_id
 ), l AS (SELECT doc_id, unnest(lines) AS line FROM d
 ), m AS (
-  SELECT doc_id, length(line) AS chars, len(regexp_split_to_array(trim(line), '{BLANK}')) AS words, length(line) - length(regexp_replace(line, '{BARS}', '', 'g')) AS bars,
+  SELECT doc_id, length(line) AS chars, len(regexp_split_to_array(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{BLANK}')) AS words, length(line) - length(regexp_replace(line, '{BARS}', '', 'g')) AS bars,
     length(regexp_replace(line, '[\p{{L}}\p{{N}}\s]', '', 'g')) AS signs, regexp_matches(line, '{NO_SENTENCE}') AS unmarked, regexp_matches(line, '{BOILERPLATE}') AS boiler FROM l
 ), q AS (
   SELECT doc_id, sum(chars) AS chars, sum(CASE WHEN (words >= 12 AND unmarked) OR signs > 0.35 * chars OR (bars >= 3 AND 3 * bars >= words) OR boiler THEN chars ELSE 0 END) AS lost FROM m GROUP BY doc_id

@@ -5,8 +5,9 @@ hold, with alternatives for its branches). Each block of documents is indexed by
 rule's query intersects and unites those lists, and only the documents that remain are scanned with the rule. A rule from which no
 trigram follows scans every document. The index is local to a block, so it needs no shuffle and its size is bounded by the block.
 
-Defined results: null text counts as empty and has no spans. Very long texts are indexed in overlapping slices and scanned whole.
-Repeated rows give repeated results. An empty table gives an empty result. Only the id and text columns are read.
+Defined results: null text counts as empty and has no spans. Very long texts are indexed in overlapping slices and scanned whole; no
+rule takes more than a bounded number of steps for each character. Repeated rows give repeated results. An empty table gives an empty
+result. Only the kept columns and the texts are read; redact and the stage keep all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import col, numbered, slices, table
 
 # A query is None (any document), ("tri", str), ("and", [..]) or ("or", [..]).
 MOST_LITERALS = 64
@@ -54,8 +55,8 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"(?:sk|rk)_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----(?:(?!-----)[A-Za-z0-9+/=\s:,-])*+-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -226,21 +227,24 @@ class Scanner:
 
 def scan(docs: DataFrame, *, text_col: str, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The kept columns and the spans found in each text; no shuffle."""
-    rows = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = docs.select(*keep).schema.add("spans", _span_type())
+    if "spans" in keep:
+        raise ValueError("a kept column can't be named spans")
+    rows = numbered(docs.select(*[col(c) for c in keep], F.coalesce(col(text_col), F.lit("")).alias(text_col)))
+    kept, text = rows.columns[:-1], rows.columns[-1]
+    schema = rows.select(*kept).schema.add("spans", _span_type())
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     named = [r.kind for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:
-            for lo, hi in slices(batch, "__text", 4 << 20):
+            for lo, hi in slices(batch, text, 4 << 20):
                 part = batch.slice(lo, hi - lo)
-                found = scanner.scan(part.column("__text").to_pylist())
+                found = scanner.scan(part.column(text).to_pylist())
                 spans = [[{"kind": named[r], "start": s, "end": e} for s, r, e in x] for x in found]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(spans, arrow)], names=[*keep, "spans"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(spans, arrow)], names=[*kept, "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, "spans")
 
 
 def _span_type():
@@ -252,21 +256,21 @@ def _span_type():
 def redact(docs: DataFrame, *, text_col: str, rules: tuple[Rule, ...] = RULES, mask: str = "<SECRET>") -> DataFrame:
     """docs with each span replaced by the mask; overlapping spans are joined; a text without spans stays as it is, null too."""
     names = docs.columns
-    kind = docs.select(*names).schema
+    rows = numbered(docs)
+    kept, at = rows.columns, names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:
-            for lo, hi in slices(batch, text_col, 4 << 20):
+            for lo, hi in slices(batch, kept[at], 4 << 20):
                 part = batch.slice(lo, hi - lo)
-                texts = part.column(text_col).to_pylist()
+                texts = part.column(at).to_pylist()
                 for i, spans in enumerate(scanner.scan([t or "" for t in texts])):
                     if spans:
                         texts[i] = masked(texts[i], [(s, e) for s, _, e in spans], mask)
-                at = names.index(text_col)
-                yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(c).type) if i == at else part.column(c) for i, c in enumerate(names)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(i).type) if i == at else part.column(i) for i in range(len(kept))], names=kept)
 
-    return docs.select(*names).mapInArrow(run, kind)
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
 
 
 def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
@@ -286,8 +290,10 @@ def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts masked and n_chars, where given, counted anew."""
     out = redact(docs, text_col="text")
-    changed = F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
-    return out if changed is None else out.withColumn("n_chars", changed).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return out
+    counted = F.when(col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return out.select(*[counted if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written, written_at
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ class Options:
     """damping: share that flows on, below one; tolerance: steps end when the summed change of the ranks of each kind is below this
     share of floor times the mean of a seed; steps: most rounds, if given; threshold: a host is blocked if its distrust is over
     threshold times its trust and at least floor times the mean of a seed; seed_share: a host is a seed if rules give that share of
-    all its pages one verdict."""
+    all its pages one verdict; broadcast_hosts: up to so many blocked hosts are sent to all executors, beyond that they are joined."""
 
     damping: float = 0.85
     tolerance: float = 1e-4
@@ -53,6 +53,7 @@ class Options:
     threshold: float = 2.0
     floor: float = 0.05
     seed_share: float = 0.9
+    broadcast_hosts: int = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -105,7 +106,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, options: Options = Options())
     flows = edges.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
     out_n = flows.groupBy("kind", "host").agg(F.sum("n").alias("out"))
     moves = written(flows.join(out_n, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("out")).alias("part")), "host-edges")
-    ranks = home.select("kind", "host", F.col("s").alias("r"))
+    ranks, held = home.select("kind", "host", F.col("s").alias("r")), None
     step, settled, lost = 0, moves.isEmpty(), 1.0 - options.damping
     while not settled and step != options.steps:
         for _ in range(min(options.cut_every, (options.steps or step + options.cut_every) - step)):
@@ -113,7 +114,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, options: Options = Options())
             sent = ranks.join(moves, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((options.damping * F.sum(F.col("r") * F.col("part"))).alias("r"))
             ranks = sent.unionByName(home.select("kind", "host", (F.lit(lost) * F.col("s")).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         both = ranks.withColumn("old", F.lit(0.0)).unionByName(before.select("kind", "host", F.lit(0.0).alias("r"), F.col("r").alias("old")))
-        ranks = written(both.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("old").alias("old")), "ranks")
+        ranks, now = written_at(both.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("old").alias("old")), "ranks")
+        discard(ranks.sparkSession, held)
+        held = now
         settled = all(r["c"] < least for r in ranks.groupBy("kind").agg(F.sum(F.abs(F.col("r") - F.col("old"))).alias("c")).collect())
         ranks = ranks.drop("old")
     if not step:
@@ -143,7 +146,8 @@ def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, seeds: DataFrame
         seeds = each.select("host", weight("allow").alias("trusted"), weight("block").alias("blocked")).where("trusted + blocked > 0")
     seeds = written(seeds, "host-seeds")
     edges = written(host_edges(pages), "edges")
-    bad = blocked_hosts(propagate(edges, seeds, options), seeds, options).select("host", F.lit(True).alias("bad"))
+    bad = written(blocked_hosts(propagate(edges, seeds, options), seeds, options).select("host", F.lit(True).alias("bad")), "blocked-hosts")
+    bad = F.broadcast(bad) if bad.count() <= options.broadcast_hosts else bad
     verdict = F.coalesce(F.col("by_rule.verdict"), F.when(F.col("bad"), "block").otherwise("allow"))
     return parsed.join(bad, "host", "left").select("page_id", "host", "path", F.col("by_rule.rule").alias("rule"), verdict.alias("verdict"))
 

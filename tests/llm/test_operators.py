@@ -202,7 +202,7 @@ def test_production_options_reach_the_fixed_point(spark):
     rank = home.copy()
     for _ in range(2000):
         rank = 0.15 * home + 0.85 * (moves @ rank + rank[out == 0].sum() * home)
-    assert trust == pytest.approx({h: rank[at[h]] for h in hosts if rank[at[h]] > 0 and h[0] != "h"}, abs=1e-6)
+    assert [trust.get(h, 0.0) for h in hosts] == pytest.approx(rank, abs=1e-5)
     blocked = urls.blocked_hosts(spark.createDataFrame(ranks), seeds).collect()
     assert {r.host for r in blocked} == {f"h{k}" for k in range(15) if distrust[f"h{k}"] >= 0.05} and len(blocked) == 8
 
@@ -275,7 +275,7 @@ def test_secrets_of_all_documents_equal_brute_force(spark):
 def test_languages_of_all_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs, id_col="doc_id", text_col="text", lang_col="lang", allowed=~langid.held_out("doc_id"))
-    rows = docs.where(langid.held_out("doc_id") & F.col("text").rlike(r"\\p{L}") & F.col("lang").isNotNull())
+    rows = docs.where(langid.held_out("doc_id") & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     got = langid.predict(rows, model, text_col="text", keep=["doc_id", "lang"]).collect()
     assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
     few = langid.fit(docs, id_col="doc_id", text_col="text", lang_col="lang", options=langid.Options(max_langs=2))

@@ -8,7 +8,7 @@ import pytest
 from tidemerge.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["merge_full", "merge_delta", "write_ops_last_wins", "push_outcomes", "sync_report", "mutate_edit", "mutate_move", "add_collision", "upgrade_full_dedup", "rekey_rebuild", "hub_project_left", "hub_absorb_manual", "hub_absorb_incoming", "soft_delete_load", "enumerate_delta", "unified_view"]
+NAMES = ["merge_full", "merge_delta", "write_ops_last_wins", "push_outcomes", "sync_report", "mutate_edit", "mutate_move", "add_collision", "upgrade_full_dedup", "rekey_rebuild", "hub_project_left", "hub_absorb_manual", "hub_absorb_incoming", "soft_delete_load", "enumerate_delta", "unified_view", "merge_vanished_first", "sync_event_order", "push_remote_server", "store_load", "store_objects", "store_checkpoints", "sync_full_override", "rekey_unlinked", "stream_sync", "mutate_in_order", "upgrade_without_body"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -34,3 +34,19 @@ def test_full_and_delta_give_the_same_replica(spark):
     delta = merge.decide(merge.delta_candidates(rows, *fx.delta(spark, SF))).checkpoint()
     a, b = (apply_ops(rows, merge.write_ops(d)).checkpoint() for d in (full, delta))
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_every_outcome_occurs():
+    """Each arm that a query is there to show has rows in it, at the scale at which results are compared."""
+    con = duckdb.connect()
+    for f in os.listdir(SF.replace("0.001", "0.01")):
+        con.sql(f"create view {f[:-8]} as select * from '{SF.replace('0.001', '0.01')}/{f}'")
+    seen = lambda name, column: {r[0] for r in con.sql(f"SELECT DISTINCT {column} FROM ({SQL[name]})").fetchall()}
+    assert seen("merge_vanished_first", "arm") >= {"M12", "M07", "M08"}
+    assert seen("rekey_rebuild", "outcome") == {"carried", "fresh", "resurrected", "lost", "gone", "moved"}
+    assert seen("rekey_rebuild", "CASE WHEN outcome = 'carried' THEN status || (object LIKE 'e%') END") >= {"Dirtytrue", "Dirtyfalse", "Conflicttrue", "Tombstonefalse", "Cleanfalse"}
+    assert seen("hub_project_left", "status") == {"Clean", "Dirty", "Tombstone", "Conflict", "Created"}
+    assert seen("upgrade_without_body", "level") == {1, 2}
+    assert seen("push_unmatched", '"case"') >= {"P1", "P2", "P3", "P4", "P5", "P6", "P8"}
+    assert con.sql(SQL["stale_dedup"]).fetchall() and con.sql(SQL["lingering"]).fetchall()
+    assert {r[0] for r in con.sql(f"SELECT DISTINCT outcome FROM ({SQL['push_remote']})").fetchall()} == {"Accepted", "Rejected"}

@@ -47,6 +47,10 @@ class StorageError(ReplicaError):
     pass
 
 
+class ConflictError(StorageError):
+    """Another writer was first."""
+
+
 class RemoteError(ReplicaError):
     pass
 
@@ -99,6 +103,11 @@ def op(kind: str, collection: Column, handle: Column, placement: Column | None =
     return struct(OP, kind=F.lit(kind), collection=collection, handle=handle, **({} if placement is None else {"placement": placement}))
 
 
+def with_(row: Column, **changes: Column) -> Column:
+    """A placement with some fields replaced."""
+    return F.struct(*[(changes[f.name].cast(f.dataType) if f.name in changes else row[f.name]).alias(f.name) for f in PLACEMENT.fields])
+
+
 def upsert(placement: Column) -> Column:
     return op(UPSERT, placement["collection"], placement["handle"], placement)
 

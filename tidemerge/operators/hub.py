@@ -81,11 +81,14 @@ def absorb(items: DataFrame, bindings: DataFrame, ops: DataFrame, source: str, p
 
     states = items.select("link_id", struct(ITEM, **{f: c(f) for f in ITEM.names}).alias("item"))
     bound = own.select("link_id", struct(BINDING, **{f: c(f) for f in BINDING.names}).alias("binding"))
-    d = states.join(bound, "link_id", "left").join(by_link, "link_id", "full_outer")
+    touched = states.join(by_link, "link_id", "left_semi")  # the others are passed on as they are, not shuffled through the fold
+    d = touched.join(bound, "link_id", "left").join(by_link, "link_id", "full_outer")
     start = F.struct(c("item").alias("item"), c("binding").alias("binding")).cast(STATE)
     folded = F.when(c("ops").isNull(), start).otherwise(F.aggregate("ops", start, lambda s, x: _step(s, x, policy)))
     done = d.select("link_id", F.explode_outer(F.array(folded)).alias("s"))  # keeps filters on s above the fold
     new = done.where(c("s.binding").isNotNull()).select("link_id", F.lit(source).alias("source"), "s.binding.*")
-    out = bindings.where(c("source") != source).unionByName(new)
-    kept = done.where(c("s.item").isNotNull()).select("link_id", "s.item.*").join(out.select("link_id").distinct(), "link_id", "left_semi")
+    still = own.join(by_link, "link_id", "left_anti")
+    out = bindings.where(c("source") != source).unionByName(still.select(*bindings.columns)).unionByName(new)
+    rest = items.join(by_link, "link_id", "left_anti").select("link_id", *ITEM.names)
+    kept = rest.unionByName(done.where(c("s.item").isNotNull()).select("link_id", "s.item.*")).join(out.select("link_id").distinct(), "link_id", "left_semi")
     return kept, out

@@ -2,48 +2,122 @@
 
 A batch has one row for each mutation: collection, handle, kind, seq and what the kind needs (flags; object, size, bytes, meta, sort_key;
 to_collection, to_handle; link_id). The result is (ops, rejects): write operations in order of (phase, seq), and the mutations whose
-handle is unknown or whose link is already live. Mutations of one batch see the replica as it was before the batch.
+handle is unknown or whose link is already live.
+
+Mutations of one handle are folded in order of seq, so each sees what the ones before it left. What a copy, a move or an add of the
+batch makes can be changed by later mutations of the batch: where that happens, the batch is worked off in waves, each as far as it
+depends on no earlier mutation that is still to come. Links are judged by the replica as it was before the batch and by earlier adds
+of the batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import flags as fl
-from ..model import BASE, CLEAN, CONFLICT, CREATED, DIRTY, FULL, ORIGIN, PLACEMENT, TOMBSTONE, as_row, base_of, null, struct, upsert
-from ..plans.merge import _with
+from ..model import CREATED, FULL, OP, ORIGIN, PLACEMENT, TOMBSTONE, UPSERT, as_row, null
+from ..plans.text import base_of, placement, struct, with_
 
 KEY = ["collection", "handle"]
 MUTATION = (
     T.StructType().add("seq", "integer").add("kind", "string").add("collection", "string").add("handle", "string").add("flags", T.ArrayType(T.StringType())).add("object", "string").add("size", "long").add("bytes", "binary")
     .add("meta", "string").add("sort_key", "string").add("to_collection", "string").add("to_handle", "string").add("link_id", "string")
 )
+PLACE = "place"  # a row made by an earlier wave
+GIVEN = ("flags", "object", "meta", "sort_key", "to_collection", "to_handle", "link_id")
+MADE = T.ArrayType(T.StructType().add("seq", "long").add("placement", PLACEMENT))
+REFUSED = T.ArrayType(T.StructType().add("seq", "integer").add("kind", "string").add("reason", "string"))
+STATE = T.StructType().add("row", PLACEMENT).add("seq", "long").add("made", MADE).add("refused", REFUSED)
 
 
-def mutate(placements: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _judged(placements: DataFrame, batch: DataFrame) -> DataFrame:
+    """(collection, handle, e) with one struct for each mutation; taken says that an add's link is live."""
     c = F.col
+    live = placements.where((c("status") != TOMBSTONE) & c("link_id").isNotNull()).select("collection", "link_id").distinct().withColumn("live", F.lit(True))
+    add = (c("kind") == "add") & c("link_id").isNotNull()
+    turn = F.row_number().over(Window.partitionBy("collection", "link_id").orderBy("seq", "handle"))
+    adds = batch.where(add).withColumn("turn", turn).join(live, ["collection", "link_id"], "left").withColumn("taken", c("live").isNotNull() | (c("turn") > 1))
+    rest = batch.where(~F.coalesce(add, F.lit(False))).withColumn("taken", F.lit(False))
+    fields = ["seq", "kind", *GIVEN, "taken"]
+    each = adds.select(*KEY, *fields[:2], *GIVEN, "taken").unionByName(rest.select(*KEY, *fields[:2], *GIVEN, "taken"))
+    return each.withColumn("flags", fl.canonical(c("flags"))).select(*KEY, F.struct(*fields, null(PLACEMENT).alias("placement")).alias("e"))
+
+
+def _step() -> str:
+    """SQL: the state s after the mutation e of one handle."""
+    row = "s.row"
+    flagged = with_(row, flags="e.flags", status="IF(s.row.status = 'Clean', 'Dirty', s.row.status)")
+    removed = with_(row, status="'Tombstone'")
+    solved = "s.row.status = 'Conflict'"
+    base = f"IF({solved} AND s.row.base IS NOT NULL, {base_of('s.row.base.flags', 's.row.conflict_revision', 's.row.base.object')}, s.row.base)"
+    edited = with_(row, object="e.object", level=str(FULL), meta="coalesce(e.meta, s.row.meta)", sort_key="coalesce(e.sort_key, s.row.sort_key)", base=base, conflict_revision=f"IF({solved}, NULL, s.row.conflict_revision)", status="IF(s.row.status = 'Created', 'Created', 'Dirty')")
+    origin = struct(ORIGIN, collection="s.row.collection", handle="s.row.handle")
+    copied = with_(row, collection="e.to_collection", handle="e.to_handle", status="'Created'", conflict_revision="NULL", base="NULL", origin=origin)
+    moved = with_(row, status="'Tombstone'", origin=struct(ORIGIN, collection="e.to_collection", handle="s.row.handle"))
+    added = placement(collection="collection", handle="handle", link_id="e.link_id", object="e.object", level=str(FULL), meta="e.meta", sort_key="coalesce(e.sort_key, '')", flags="e.flags", status=f"'{CREATED}'")
+    own = f"CASE e.kind WHEN 'set_flags' THEN {flagged} WHEN 'remove' THEN {removed} WHEN 'edit' THEN {edited} WHEN 'move' THEN {moved} WHEN 'add' THEN {added} WHEN '{PLACE}' THEN e.placement ELSE s.row END"
+    reason = f"CASE WHEN e.kind = 'add' THEN IF(e.taken, 'LinkExists', NULL) WHEN e.kind <> '{PLACE}' AND s.row IS NULL THEN 'UnknownHandle' END"
+    made = f"IF(e.kind IN ('copy', 'move'), concat(s.made, array(named_struct('seq', 2L * e.seq, 'placement', {copied}))), s.made)"
+    seq = f"IF(e.kind IN ('copy', '{PLACE}'), s.seq, 2L * e.seq + 1)"
+    refused = f"named_struct('row', s.row, 'seq', s.seq, 'made', s.made, 'refused', concat(s.refused, array(named_struct('seq', e.seq, 'kind', e.kind, 'reason', {reason}))))"
+    return f"IF({reason} IS NOT NULL, {refused}, named_struct('row', {own}, 'seq', {seq}, 'made', {made}, 'refused', s.refused))"
+
+
+def _folded(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """(collection, handle, s): what each handle's mutations make of its row l, in order."""
+    lists = events.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("e.seq").alias("at"), "e"))).alias("es"))
+    kind = STATE.simpleString()
+    start = f"cast(named_struct('row', l, 'seq', NULL, 'made', array(), 'refused', array()) AS {kind})"
+    fold = F.expr(f"aggregate(es, {start}, (s, x) -> aggregate(array(x.e), s, (s, e) -> cast({_step()} AS {kind})))")
+    return lists.join(rows, KEY, "left").select(*KEY, F.explode_outer(F.array(fold)).alias("s"))
+
+
+def _ops(folded: DataFrame) -> DataFrame:
+    own = "IF(s.seq IS NULL, array(), array(named_struct('seq', s.seq, 'placement', s.row)))"
+    each = folded.select(F.col("handle").alias("of"), F.explode(F.expr(f"concat(cast({own} AS {MADE.simpleString()}), s.made)")).alias("m"))
+    op = F.struct(F.lit(UPSERT).alias("kind"), F.col("m.placement.collection").alias("collection"), F.col("m.placement.handle").alias("handle"), F.col("m.placement").alias("placement")).cast(OP)
+    return each.select(F.lit(0).alias("phase"), "of", F.col("m.seq").alias("seq"), op.alias("op")).select("phase", "of", "seq", "op.*")
+
+
+def _rejects(folded: DataFrame) -> DataFrame:
+    return folded.select(*KEY, F.explode("s.refused").alias("r")).select("r.seq", "r.kind", *KEY, "r.reason")
+
+
+def _targets(events: DataFrame) -> DataFrame:
+    """(collection, handle, tseq) that copies and moves make."""
+    return events.where(F.col("e.kind").isin("copy", "move")).select(F.col("e.to_collection").alias("collection"), F.col("e.to_handle").alias("handle"), F.col("e.seq").alias("tseq"))
+
+
+def _held(events: DataFrame, how: str) -> DataFrame:
+    """Mutations of handles that an earlier one of events is still to make (left_semi), or the others (left_anti)."""
+    first = _targets(events).groupBy(*[F.col(k).alias(f"t_{k}") for k in KEY]).agg(F.min("tseq").alias("tseq"))
+    on: Column = (F.col("collection") == F.col("t_collection")) & (F.col("handle") == F.col("t_handle")) & (F.col("e.seq") > F.col("tseq"))
+    return events.join(first, on, how)
+
+
+def mutate(placements: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    events = _judged(placements, batch)
     rows = placements.select(*KEY, as_row().alias("l"))
-    live = placements.where((c("status") != TOMBSTONE) & c("link_id").isNotNull()).select("collection", "link_id").distinct().withColumn("taken", F.lit(True))
-    d = batch.join(rows, KEY, "left").join(live, ["collection", "link_id"], "left")
-    adds = c("kind") == "add"
-    reason = F.when(adds & c("taken").isNotNull(), "LinkExists").when(~adds & c("l").isNull(), "UnknownHandle")
-    d = d.withColumn("reason", reason)
-    row = c("l")
-    origin = F.struct(c("collection"), c("handle"))
-    flagged = _with(row, flags=fl.canonical(c("flags")), status=F.when(row["status"] == CLEAN, DIRTY).otherwise(row["status"]))
-    removed = _with(row, status=F.lit(TOMBSTONE))
-    solved = row["status"] == CONFLICT
-    base = F.when(solved & row["base"].isNotNull(), base_of(row["base"]["flags"], row["conflict_revision"], row["base"]["object"])).otherwise(row["base"])
-    edited = _with(row, object=c("object"), level=F.lit(FULL), meta=F.coalesce(c("meta"), row["meta"]), sort_key=F.coalesce(c("sort_key"), row["sort_key"]), base=base, conflict_revision=F.when(~solved, row["conflict_revision"]), status=F.when(row["status"] == CREATED, CREATED).otherwise(DIRTY))
-    copied = _with(row, collection=c("to_collection"), handle=c("to_handle"), status=F.lit(CREATED), conflict_revision=null(T.StringType()), base=null(BASE), origin=origin)
-    moved = _with(row, status=F.lit(TOMBSTONE), origin=struct(ORIGIN, collection=c("to_collection"), handle=c("handle")))
-    added = struct(PLACEMENT, collection=c("collection"), handle=c("handle"), link_id=c("link_id"), object=c("object"), level=F.lit(FULL), meta=c("meta"), sort_key=F.coalesce(c("sort_key"), F.lit("")), flags=fl.canonical(c("flags")), status=F.lit(CREATED))
-    made = F.when(c("kind") == "set_flags", F.array(upsert(flagged))).when(c("kind") == "remove", F.array(upsert(removed))).when(c("kind") == "edit", F.array(upsert(edited))).when(c("kind") == "copy", F.array(upsert(copied))).when(c("kind") == "move", F.array(upsert(copied), upsert(moved))).when(adds, F.array(upsert(added)))
-    good = d.where("reason IS NULL").select(c("handle").alias("of"), "seq", F.posexplode_outer(made).alias("k", "op")).where("op IS NOT NULL")
-    ops = good.select(F.lit(0).alias("phase"), "of", (c("seq") * 2 + c("k")).alias("seq"), "op.*")
-    return ops, d.where("reason IS NOT NULL").select("seq", "kind", *KEY, "reason")
+    met = batch.select(*KEY).join(batch.where("kind IN ('copy', 'move')").selectExpr("to_collection AS collection", "to_handle AS handle"), KEY, "left_semi")
+    if met.isEmpty():
+        folded = _folded(rows, events)
+        return _ops(folded), _rejects(folded)
+    waves, pending = [], events.checkpoint()
+    while not pending.isEmpty():
+        wave = _folded(rows, _held(pending, "left_anti")).checkpoint()
+        held = _held(pending, "left_semi")
+        names = held.select(*KEY).distinct()
+        nothing = [F.lit(None).cast(MUTATION[f].dataType).alias(f) for f in GIVEN]
+        made = wave.select(F.explode("s.made").alias("m")).select("m.placement.collection", "m.placement.handle", F.struct((F.col("m.seq") / 2).cast("int").alias("seq"), F.lit(PLACE).alias("kind"), *nothing, F.lit(False).alias("taken"), F.col("m.placement").alias("placement")).alias("e"))
+        rows = rows.join(wave.select(*KEY), KEY, "left_anti").unionByName(wave.where(F.col("s.row").isNotNull()).select(*KEY, F.col("s.row").alias("l"))).join(names, KEY, "left_semi").checkpoint()
+        pending = held.unionByName(made.join(names, KEY, "left_semi")).checkpoint()
+        waves.append(wave)
+    every = reduce(DataFrame.unionByName, waves)
+    return _ops(every), _rejects(every)
 
 
 def bodies(batch: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..model import ACCEPTED, CLEAN, DIRTY, DROP, EVENT, OP, ORIGIN, REJECTED, TOMBSTONE, base_of, event, null, op, upsert
-from ..plans.merge import _with, rebase
+from ..model import DROP, EVENT, OP
+from ..plans import text as x
+from ..plans.merge import rebase
 
 KEY = ["collection", "handle"]
 
@@ -15,24 +15,28 @@ KEY = ["collection", "handle"]
 def confirm(decisions: DataFrame, results: DataFrame) -> DataFrame:
     """(collection, handle, case, ops, events, pushed, rejected) for each result (collection, handle, outcome, assigned, revision,
     and position seq). What isn't reported stays as it is and is pushed again by the next sync."""
-    c = F.col
     each = decisions.select(*KEY, F.explode_outer(F.array(F.struct("push", "stash"))).alias("x"))
     waiting = each.where("x.push IS NOT NULL").select(*KEY, "x.push", "x.stash")
     d = results.join(waiting, KEY, "left")
-    ok = (c("outcome") == ACCEPTED) & c("push").isNotNull()
-    kind = c("push.kind")
-    case = F.when(c("outcome") == REJECTED, "P6").when(ok & (kind == "SetFlags"), "P1").when(ok & (kind == "Update"), "P2").when(ok & (kind == "Remove"), "P3").when(ok & (kind == "Add"), F.when(c("assigned").isNotNull(), "P4").otherwise("P5")).otherwise("P8")
-    s = c("stash")
-    old = F.coalesce(s["base"]["flags"], F.array().cast("array<string>"))
-    status = F.when(s["status"] == TOMBSTONE, TOMBSTONE).when(s["flags"] == old, CLEAN).otherwise(DIRTY)
-    updated = _with(s, status=status, base=base_of(old, c("revision"), s["object"]))
-    placed = _with(s, handle=c("assigned"), status=F.lit(CLEAN), origin=null(ORIGIN), base=base_of(s["flags"], c("revision"), s["object"]))
-    drop = op(DROP, c("collection"), c("handle"))
-    ops = F.when(c("case") == "P1", F.array(upsert(rebase(s, s["flags"])))).when(c("case") == "P2", F.array(upsert(updated))).when(c("case").isin("P3", "P5"), F.array(drop)).when(c("case") == "P4", F.array(drop, upsert(placed))).otherwise(F.array().cast(T.ArrayType(OP)))
-    told = lambda k, h: F.array(event(k, h))
-    events = F.when(c("case") == "P1", told("FlagsChanged", c("handle"))).when(c("case") == "P2", told("ContentChanged", c("handle"))).when(c("case") == "P3", told("Vanished", c("handle"))).when(c("case") == "P4", told("Created", c("assigned"))).when(c("case") == "P5", told("Created", c("handle"))).otherwise(F.array().cast(T.ArrayType(EVENT)))
-    d = d.withColumn("case", case)
-    return d.withColumn("ops", ops).select(*KEY, "seq", "case", "ops", events.alias("events"), F.when(c("outcome") == ACCEPTED, 1).otherwise(0).cast("long").alias("pushed"), F.when(c("outcome") == REJECTED, 1).otherwise(0).cast("long").alias("rejected"))
+    ok = "outcome = 'Accepted' AND push IS NOT NULL"
+    case = x.case(("outcome = 'Rejected'", "'P6'"), (f"{ok} AND push.kind = 'SetFlags'", "'P1'"), (f"{ok} AND push.kind = 'Update'", "'P2'"), (f"{ok} AND push.kind = 'Remove'", "'P3'"), (f"{ok} AND push.kind = 'Add'", "IF(assigned IS NOT NULL, 'P4', 'P5')"), otherwise="'P8'")
+    old = "coalesce(stash.base.flags, CAST(array() AS array<string>))"
+    status = x.case(("stash.status = 'Tombstone'", "'Tombstone'"), (f"stash.flags = {old}", "'Clean'"), otherwise="'Dirty'")
+    put = lambda handle, row: x.op("UpsertPlacement", "collection", handle, row)
+    updated = x.with_("stash", status=status, base=x.base_of(old, "revision", "stash.object"))
+    placed = x.with_("stash", handle="assigned", status="'Clean'", origin="NULL", base=x.base_of("stash.flags", "revision", "stash.object"))
+    drop = x.op(DROP, "collection", "handle")
+    ops = x.case(("case = 'P1'", x.array_of(OP, put("handle", rebase("stash", "stash.flags")))), ("case = 'P2'", x.array_of(OP, put("handle", updated))), ("case IN ('P3', 'P5')", x.array_of(OP, drop)), ("case = 'P4'", x.array_of(OP, drop, put("assigned", placed))), otherwise=x.array_of(OP))
+    told = lambda k, h: x.array_of(EVENT, x.event(k, h))
+    events = x.case(("case = 'P1'", told("FlagsChanged", "handle")), ("case = 'P2'", told("ContentChanged", "handle")), ("case = 'P3'", told("Vanished", "handle")), ("case = 'P4'", told("Created", "assigned")), ("case = 'P5'", told("Created", "handle")), otherwise=x.array_of(EVENT))
+    d = d.selectExpr("*", f"{case} AS case")
+    return d.selectExpr(*KEY, "seq", "case", f"{ops} AS ops", f"{events} AS events", "IF(outcome = 'Accepted', 1L, 0L) AS pushed", "IF(outcome = 'Rejected', 1L, 0L) AS rejected")
+
+
+def confirm_events(confirmed: DataFrame) -> DataFrame:
+    """Events of the push, after those of the merge, in order of the results."""
+    each = confirmed.select("collection", "seq", F.explode_outer("events").alias("e")).where("e IS NOT NULL")
+    return each.select(F.lit(1).alias("phase"), "collection", "seq", "e.*")
 
 
 def confirm_ops(confirmed: DataFrame) -> DataFrame:

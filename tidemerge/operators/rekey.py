@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import flags as fl
-from ..model import BASE, CLEAN, CONFLICT, CREATED, DIRTY, DROP, META, ORIGIN, PLACEMENT, PROBED, TOMBSTONE, as_row, base_of, differs, null, op, struct, upsert
-from ..plans.merge import _with
+from ..model import BASE, CLEAN, CONFLICT, CREATED, DIRTY, DROP, META, ORIGIN, PLACEMENT, PROBED, TOMBSTONE, as_row, base_of, differs, null, op, struct, upsert, with_
 
 KEY = ["collection", "handle"]
 
@@ -35,7 +34,7 @@ def rebuild(placements: DataFrame, items: DataFrame, fetched: DataFrame, prefer_
     status = F.when(o["status"].isin(TOMBSTONE, CONFLICT), o["status"]).when(edited | (c("merged") != c("flags")), DIRTY).otherwise(CLEAN)
     key = F.when(c("sort_key") == "", o["sort_key"]).otherwise(c("sort_key")) if prefer_known_sort_key else c("sort_key")
     meta = F.coalesce(c("meta"), o["meta"]) if prefer_known_sort_key else c("meta")
-    carried = _with(o, handle=c("handle"), sort_key=key, meta=meta, flags=c("merged"), status=status, conflict_revision=F.when(o["status"] == CONFLICT, c("revision")), base=base_of(c("flags"), c("revision"), o["base"]["object"]))
+    carried = with_(o, handle=c("handle"), sort_key=key, meta=meta, flags=c("merged"), status=status, conflict_revision=F.when(o["status"] == CONFLICT, c("revision")), base=base_of(c("flags"), c("revision"), o["base"]["object"]))
     fresh = struct(PLACEMENT, collection=c("collection"), handle=c("handle"), link_id=c("link"), level=F.when(c("link").isNotNull(), META).otherwise(PROBED), meta=c("meta"), sort_key=F.coalesce(c("sort_key"), F.lit("")), flags=c("flags"), status=F.lit(CLEAN), base=base_of(c("flags"), c("revision"), null(T.StringType())))
     placed = both.withColumn("merged", flags).withColumn("row", F.when(o.isNotNull(), carried).otherwise(fresh))
     made = placed.select("collection", "handle", F.when(o.isNotNull(), "carried").otherwise("fresh").alias("outcome"), F.array(upsert(c("row"))).alias("ops"))
@@ -43,7 +42,7 @@ def rebuild(placements: DataFrame, items: DataFrame, fetched: DataFrame, prefer_
     used = both.where(o.isNotNull()).select("collection", c("o.handle").alias("handle"))
     left = old.join(used.withColumn("used", F.lit(True)), KEY, "left")
     stays = c("used").isNull() & o["status"].isin(DIRTY, CONFLICT) & o["object"].isNotNull() & (o["base"].isNull() | differs(o["object"], o["base"]["object"]))
-    raised = _with(o, status=F.lit(CREATED), conflict_revision=null(T.StringType()), base=null(BASE), origin=null(ORIGIN))
+    raised = with_(o, status=F.lit(CREATED), conflict_revision=null(T.StringType()), base=null(BASE), origin=null(ORIGIN))
     outcome = F.when(c("used").isNotNull(), "moved").when(stays, "resurrected").when(o["status"] != CLEAN, "lost").otherwise("gone")
     drop = op(DROP, c("collection"), c("handle"))
     rest = left.select("collection", "handle", outcome.alias("outcome"), F.when(stays, F.array(drop, upsert(raised))).otherwise(F.array(drop)).alias("ops"))

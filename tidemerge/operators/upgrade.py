@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import FULL, META, as_row, base_of, upsert
-from ..plans.merge import _with
+from ..model import FULL, META, as_row, base_of, upsert, with_
 
 KEY = ["collection", "handle"]
 
@@ -30,7 +29,7 @@ def split_known(rows: DataFrame, placements: DataFrame, stamp_base: bool = False
     d = rows.join(known, "link_id", "left")
     row = as_row()
     base = F.when(F.col("base").isNotNull(), base_of(F.col("base.flags"), F.col("base.revision"), F.col("known"))) if stamp_base else F.col("base")
-    hit = d.where("known IS NOT NULL").select(F.lit(0).alias("phase"), F.col("handle").alias("of"), F.lit(0).alias("seq"), upsert(_with(row, object=F.col("known"), level=F.lit(FULL), base=base)).alias("op"))
+    hit = d.where("known IS NOT NULL").select(F.lit(0).alias("phase"), F.col("handle").alias("of"), F.lit(0).alias("seq"), upsert(with_(row, object=F.col("known"), level=F.lit(FULL), base=base)).alias("op"))
     return hit.select("phase", "of", "seq", "op.*"), d.where("known IS NULL").select(rows.columns)
 
 
@@ -40,7 +39,7 @@ def patched(rows: DataFrame, fetched: DataFrame, tier: int) -> DataFrame:
     d = rows.join(f, KEY)
     row, body = as_row(), F.col("f.object").isNotNull() if tier == FULL else F.lit(False)
     base = F.when(body & F.col("base").isNotNull(), base_of(F.col("base.flags"), F.col("f.revision"), F.col("f.object"))).otherwise(F.col("base"))
-    new = _with(row, link_id=F.coalesce(F.col("link_id"), F.col("f.link_id")), meta=F.col("f.meta"), sort_key=F.col("f.sort_key"), level=F.when(body, FULL).otherwise(META), object=F.when(body, F.col("f.object")).otherwise(F.col("object")), base=base)
+    new = with_(row, link_id=F.coalesce(F.col("link_id"), F.col("f.link_id")), meta=F.col("f.meta"), sort_key=F.col("f.sort_key"), level=F.when(body, FULL).otherwise(META), object=F.when(body, F.col("f.object")).otherwise(F.col("object")), base=base)
     return d.select(F.lit(0).alias("phase"), F.col("handle").alias("of"), F.lit(0).alias("seq"), upsert(new).alias("op")).select("phase", "of", "seq", "op.*")
 
 

@@ -10,15 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags as fl
-from ..functions.handles import keep_both
-from ..model import (
-    CHANGE, CLEAN, CONFLICT, CREATED, DIRTY, EVENT, KEEP_BOTH, MANUAL, OP, PLACEMENT, PREFER_LOCAL, PREFER_REMOTE, PROBED, FULL, DROP, REMOTE_ITEM, TOMBSTONE,
-    BASE, ORIGIN, SyncOptions, as_row, base_of, differs, event, null, op, struct, upsert,
-)
-from pyspark.sql import types as T
+from ..model import CHANGE, CLEAN, DROP, EVENT, FULL, KEEP_BOTH, MANUAL, MARK, OP, ORIGIN, PLACEMENT, PREFER_LOCAL, PREFER_REMOTE, PROBED, REMOTE_ITEM, SyncOptions, as_row, null, struct
+from . import text as x
 
 KEY = ["collection", "handle"]
-STRING = T.StringType()
 
 
 def latest(items: DataFrame, order: Column) -> DataFrame:
@@ -47,165 +42,152 @@ def delta_candidates(placements: DataFrame, items: DataFrame, vanished: DataFram
     listed is held against its own base, at the revision last seen, so nothing seems to have changed remotely.
     """
     gone = vanished.select(*KEY).distinct().withColumn("gone", F.lit(True))
-    told = _remote(items).join(gone, KEY, "full_outer")
+    told = _remote(items).join(gone, KEY, "full_outer").withColumn("told", F.lit(True))
     local = _local(placements)
-    waiting = F.col("l.status") != CLEAN
-    both = told.withColumn("told", F.lit(True)).join(local, KEY, "full_outer").where(F.col("told").isNotNull() | F.coalesce(waiting, F.lit(False)))
-    own = F.when(F.col("l.base").isNotNull(), struct(REMOTE_ITEM, handle=F.col("handle"), flags=F.col("l.base.flags"), revision=F.coalesce(F.col("l.conflict_revision"), F.col("l.base.revision"))))
-    remote = F.when(F.coalesce(F.col("gone"), F.lit(False)), null(REMOTE_ITEM)).when(F.col("r").isNotNull(), F.col("r")).when(F.col("told").isNull(), own)
-    return both.select(*KEY, "l", remote.alias("r"))
+    # The snapshot is the small side: it can be sent to the replica's rows, and of these only candidates are ever shuffled.
+    known = local.join(told, KEY, "left").where(F.col("told") | (F.col("l.status") != CLEAN))
+    new = told.join(local.select(*KEY).join(told.select(*KEY), KEY, "left_semi"), KEY, "left_anti").withColumn("l", null(PLACEMENT))
+    own = x.item(handle="handle", flags="l.base.flags", revision="coalesce(l.conflict_revision, l.base.revision)")
+    remote = F.expr(f"CASE WHEN gone THEN NULL WHEN told THEN r WHEN l.base IS NOT NULL THEN {own} END")
+    return known.unionByName(new).select(*KEY, "l", remote.alias("r"))
 
 
-def _with(row: Column, **changes: Column) -> Column:
-    """A placement with some fields replaced."""
-    return F.struct(*[(changes[f.name].cast(f.dataType) if f.name in changes else row[f.name]).alias(f.name) for f in PLACEMENT.fields])
+def settled(row: str) -> str:
+    return f"IF({row}.status = 'Conflict', 'Conflict', 'Clean')"
 
 
-def _settled(row: Column) -> Column:
-    return F.when(row["status"] == CONFLICT, F.lit(CONFLICT)).otherwise(F.lit(CLEAN))
-
-
-def pull_flags(row: Column, flags: Column) -> Column:
+def pull_flags(row: str, flags: str) -> str:
     """flags become current and base."""
-    return _with(row, flags=flags, status=_settled(row), base=base_of(flags, row["base"]["revision"], row["base"]["object"]))
+    return x.with_(row, flags=flags, status=settled(row), base=x.base_of(flags, f"{row}.base.revision", f"{row}.base.object"))
 
 
-def rebase(row: Column, flags: Column) -> Column:
+def rebase(row: str, flags: str) -> str:
     """flags become the base."""
-    return _with(row, status=_settled(row), base=base_of(flags, row["base"]["revision"], row["base"]["object"]))
+    return x.with_(row, status=settled(row), base=x.base_of(flags, f"{row}.base.revision", f"{row}.base.object"))
 
 
-def pull_content(row: Column, revision: Column) -> Column:
+def pull_content(row: str, revision: str) -> str:
     """The old body goes; the base takes the new revision."""
-    base = F.when(row["base"].isNotNull(), base_of(row["base"]["flags"], revision, null(STRING)))
-    return _with(row, object=null(STRING), level=F.lit(PROBED), base=base)
+    base = f"IF({row}.base IS NOT NULL, {x.base_of(f'{row}.base.flags', revision, 'NULL')}, NULL)"
+    return x.with_(row, object="NULL", level=str(PROBED), base=base)
 
 
-def probed(collection: Column, item: Column) -> Column:
+def probed(collection: str, item: str) -> str:
     """The row of a newly seen item."""
-    return struct(PLACEMENT, collection=collection, handle=item["handle"], level=F.lit(PROBED), sort_key=F.lit(""), flags=item["flags"], status=F.lit(CLEAN), base=base_of(item["flags"], item["revision"], null(STRING)))
-
-
-def _arms(options: SyncOptions) -> Column:
-    c = F.col
-    may_add = F.lit(options.may("add"))
-    chain = [
-        (c("tomb") & c("based") & c("listed") & c("newer"), "M01"),
-        (c("tomb") & c("based") & c("listed") & F.lit(not options.push), "M02"),
-        (c("tomb") & c("based") & c("listed") & c("edited") & c("l.origin").isNotNull(), "M03"),
-        (c("tomb") & c("based") & c("listed"), "M04"),
-        (c("tomb") & ~c("listed"), "M05"),
-        (c("present") & c("based") & ~c("listed") & c("l.status").isin(DIRTY, CONFLICT) & c("edited"), "M06"),
-        (c("present") & c("based") & ~c("listed"), "M07"),
-        (~c("present") & ~c("based") & c("listed"), "M08"),
-        (c("present") & c("listed"), "M09"),
-        (c("present") & (c("l.status") == CREATED) & may_add, "M10"),
-        (c("present"), "M11"),
-    ]
-    out = F.lit("M12")
-    for condition, name in reversed(chain):
-        out = F.when(condition, name).otherwise(out)
-    return out
+    return x.placement(collection=collection, handle=f"{item}.handle", level=str(PROBED), sort_key="''", flags=f"{item}.flags", status="'Clean'", base=x.base_of(f"{item}.flags", f"{item}.revision", "NULL"))
+
+
+def _arms(options: SyncOptions) -> str:
+    return x.case(
+        ("tomb AND based AND listed AND newer", "'M01'"),
+        (f"tomb AND based AND listed AND {not options.push}", "'M02'"),
+        ("tomb AND based AND listed AND edited AND l.origin IS NOT NULL", "'M03'"),
+        ("tomb AND based AND listed", "'M04'"),
+        ("tomb AND NOT listed", "'M05'"),
+        ("present AND based AND NOT listed AND l.status IN ('Dirty', 'Conflict') AND edited", "'M06'"),
+        ("present AND based AND NOT listed", "'M07'"),
+        ("NOT present AND NOT based AND listed", "'M08'"),
+        ("present AND listed", "'M09'"),
+        (f"present AND l.status = 'Created' AND {options.may('add')}", "'M10'"),
+        ("present", "'M11'"),
+        otherwise="'M12'",
+    )
 
 
-def _content_arms(options: SyncOptions) -> Column:
-    c = F.col
-    revision = c("r.revision")
-    ours = (c("l.status") == DIRTY) & c("edited")
+def _content_arms(options: SyncOptions) -> str:
     clash = {MANUAL: "C08a", PREFER_REMOTE: "C08b", PREFER_LOCAL: "C08c" if options.may("content") else "C08a", KEEP_BOTH: "C08d"}[options.conflict]
-    moved = revision.isNotNull() & differs(revision, c("l.conflict_revision"))
-    return F.when(
-        c("arm") == "M09",
-        F.when(~c("based"), F.when(c("l.object").isNotNull() & revision.isNotNull(), "C01").otherwise("C02"))
-        .when(c("l.status") == CONFLICT, F.when(moved, "C03").otherwise("C04"))
-        .when(ours & c("newer"), clash)
-        .when(ours, "C07")
-        .when(c("newer"), "C06")
-        .otherwise("C05"),
+    ours = "l.status = 'Dirty' AND edited"
+    arms = x.case(
+        ("NOT based AND l.object IS NOT NULL AND r.revision IS NOT NULL", "'C01'"),
+        ("NOT based", "'C02'"),
+        ("l.status = 'Conflict' AND r.revision IS NOT NULL AND NOT r.revision <=> l.conflict_revision", "'C03'"),
+        ("l.status = 'Conflict'", "'C04'"),
+        (f"{ours} AND newer", f"'{clash}'"),
+        (ours, "'C07'"),
+        ("newer", "'C06'"),
+        otherwise="'C05'",
     )
+    return f"IF(arm = 'M09', {arms}, NULL)"
 
 
 def decide(candidates: DataFrame, options: SyncOptions = SyncOptions()) -> DataFrame:
     """(collection, handle, l, r, arm, content_arm, flag_arm, merged, ops, push, stash, events and the counters pulled, conflicts,
     refreshed) for each candidate. stash is the row that an accepted push settles."""
-    c, may = F.col, options.may
-    no, yes = F.lit(False), F.lit(True)
-    safe = lambda x: F.coalesce(x, no)
-    d = candidates.withColumns({
-        "tomb": safe(c("l.status") == TOMBSTONE),
-        "present": safe(c("l.status") != TOMBSTONE),
-        "based": c("l.base").isNotNull(),
-        "listed": c("r").isNotNull(),
-        "newer": safe(c("r.revision").isNotNull() & differs(c("r.revision"), c("l.base.revision"))),
-        "edited": safe(c("l.base").isNotNull() & c("l.object").isNotNull() & differs(c("l.object"), c("l.base.object"))),
-    })
-    d = d.withColumn("arm", _arms(options)).withColumn("content_arm", _content_arms(options))
-    ca = c("content_arm")
-    pulls = safe(ca.isin("C06", "C08b", "C08d"))
-    marks = safe(ca.isin("C01", "C08a"))
-    content_push = safe((ca == "C07") & F.lit(may("content"))) | safe(ca == "C08c")
-    d = d.withColumns({"pulls": pulls, "marks": marks, "content_push": content_push})
-    row = F.when(marks, _with(c("l"), status=F.lit(CONFLICT), conflict_revision=c("r.revision"))).when(ca == "C03", _with(c("l"), conflict_revision=c("r.revision"))).when(c("pulls"), pull_content(c("l"), c("r.revision"))).otherwise(c("l"))
-    d = d.withColumn("row", row)
-    flagged = (c("arm") == "M09") & ~c("content_push")
-    merged = F.when(flagged & c("based"), fl.merge(c("row.base.flags"), c("row.flags"), c("r.flags")))
-    d = d.withColumn("flagged", flagged).withColumn("merged", merged)
-    pull, push = c("merged") != c("row.flags"), c("merged") != c("r.flags")
-    still = safe(c("row.object").isNotNull() & differs(c("row.object"), c("row.base.object")))
-    settles = (c("row.flags") != c("row.base.flags")) | ((c("row.status") == DIRTY) & ~still)
-    flag_arm = F.when(c("flagged"), F.when(~c("based"), "F00").when(~pull & ~push, F.when(settles, "F01").otherwise("F01-")).when(~push, "F02").when(~pull, "F03").otherwise("F04"))
-    d = d.withColumn("flag_arm", flag_arm)
-    fa, arm, handle, collection = c("flag_arm"), c("arm"), c("handle"), c("collection")
-    raised = _with(c("l"), status=F.lit(CREATED), conflict_revision=null(STRING), base=null(BASE), origin=null(ORIGIN))
-    double = _with(c("l"), handle=keep_both(handle), link_id=null(STRING), level=F.lit(FULL), status=F.lit(CREATED), conflict_revision=null(STRING), base=null(BASE), origin=null(ORIGIN))
-    folded = _with(c("row"), flags=c("merged"))
-    none = F.array().cast(T.ArrayType(OP))
-    ops = F.when(arm.isin("M01", "M08"), F.array(upsert(probed(collection, c("r"))))).when(arm.isin("M02", "M05", "M07"), F.array(op(DROP, collection, handle))).when(arm == "M06", F.array(upsert(raised))).otherwise(
-        F.concat(
-            F.when(ca == "C08d", F.array(upsert(double))).otherwise(none),
-            F.when(c("marks") | c("pulls") | safe(ca == "C03"), F.array(upsert(c("row")))).otherwise(none),
-            F.when(fa == "F00", F.array(upsert(pull_flags(c("row"), c("r.flags")))))
-            .when(fa == "F01", F.array(upsert(rebase(c("row"), c("merged")))))
-            .when(fa == "F02", F.array(upsert(pull_flags(c("row"), c("merged")))))
-            .when(fa == "F04", F.array(upsert(folded)))
-            .otherwise(none),
-        )
-    )
-    base_revision = c("l.base.revision")
-    change = lambda kind, **given: struct(CHANGE, kind=F.lit(kind), handle=handle, **given)
-    update = lambda match: change("Update", object=c("l.object"), if_match=match)
-    pushes = [
-        (arm == "M03", may("content"), update(base_revision)),
-        (arm == "M04", may("remove"), change("Remove", to=c("l.origin.collection"), if_match=base_revision)),
-        (arm == "M06", may("add"), change("Add", link_id=c("l.link_id"), flags=c("l.flags"), object=c("l.object"))),
-        (arm == "M10", True, change("Add", link_id=c("l.link_id"), flags=c("l.flags"), origin=c("l.origin"), object=c("l.object"))),
-        (ca == "C07", may("content"), update(base_revision)),
-        (ca == "C08c", True, update(c("r.revision"))),
-        (fa.isin("F03", "F04"), may("flags"), change("SetFlags", flags=c("merged"))),
+    may = options.may
+    steps: list[dict[str, str]] = [
+        {
+            "tomb": "coalesce(l.status = 'Tombstone', false)",
+            "present": "coalesce(l.status <> 'Tombstone', false)",
+            "based": "l.base IS NOT NULL",
+            "listed": "r IS NOT NULL",
+            "newer": "r.revision IS NOT NULL AND NOT r.revision <=> l.base.revision",
+            "edited": "l.base IS NOT NULL AND l.object IS NOT NULL AND NOT l.object <=> l.base.object",
+        },
+        {"arm": _arms(options)},
+        {"content_arm": _content_arms(options)},
+        {
+            "pulls": "coalesce(content_arm IN ('C06', 'C08b', 'C08d'), false)",
+            "marks": "coalesce(content_arm IN ('C01', 'C08a'), false)",
+            "content_push": f"coalesce((content_arm = 'C07' AND {may('content')}) OR content_arm = 'C08c', false)",
+        },
+        {"row": x.case(("marks", x.with_("l", status="'Conflict'", conflict_revision="r.revision")), ("content_arm = 'C03'", x.with_("l", conflict_revision="r.revision")), ("pulls", pull_content("l", "r.revision")), otherwise="l")},
+        {"flagged": "arm = 'M09' AND NOT content_push"},
+        {"merged": f"IF(flagged AND based, {fl.merge_text('row.base.flags', 'row.flags', 'r.flags')}, NULL)"},
+        {
+            "flag_arm": "IF(flagged, "
+            + x.case(
+                ("NOT based", "'F00'"),
+                ("merged = row.flags AND merged = r.flags", "IF(row.flags <> row.base.flags OR (row.status = 'Dirty' AND NOT (row.object IS NOT NULL AND NOT row.object <=> row.base.object)), 'F01', 'F01-')"),
+                ("merged = r.flags", "'F02'"),
+                ("merged = row.flags", "'F03'"),
+                otherwise="'F04'",
+            )
+            + ", NULL)"
+        },
     ]
-    out = null(CHANGE)
-    for condition, allowed, made in reversed(pushes):
-        if allowed:
-            out = F.when(condition, made).otherwise(out)
-    stash = F.when(arm == "M06", raised).when(fa.isin("F03", "F04"), folded).otherwise(c("l"))
-    told = lambda kind: F.array(event(kind, handle))
-    silent = F.array().cast(T.ArrayType(EVENT))
-    events = F.when(arm.isin("M01", "M08"), told("Added")).when(arm == "M07", told("Vanished")).otherwise(
-        F.concat(
-            F.when(c("marks"), told("Conflicted")).when(c("pulls"), told("ContentChanged")).otherwise(silent),
-            F.when(fa.isin("F00", "F02", "F04"), told("FlagsChanged")).otherwise(silent),
-        )
-    )
-    count = lambda x: F.when(safe(x), 1).otherwise(0).cast("long")
-    d = d.withColumns({
+    raised = x.with_("l", status="'Created'", conflict_revision="NULL", base="NULL", origin="NULL")
+    double = x.with_("l", handle=f"concat(handle, '{MARK}keepboth')", link_id="NULL", level=str(FULL), status="'Created'", conflict_revision="NULL", base="NULL", origin="NULL")
+    folded = x.with_("row", flags="merged")
+    put = lambda row: x.op("UpsertPlacement", "collection", "handle", row)
+    ops = x.case(
+        ("arm IN ('M01', 'M08')", x.array_of(OP, put(probed("collection", "r")))),
+        ("arm IN ('M02', 'M05', 'M07')", x.array_of(OP, x.op(DROP, "collection", "handle"))),
+        ("arm = 'M06'", x.array_of(OP, put(raised))),
+        otherwise="concat("
+        + ", ".join([
+            x.case(("content_arm = 'C08d'", x.array_of(OP, x.op("UpsertPlacement", "collection", f"concat(handle, '{MARK}keepboth')", double))), otherwise=x.array_of(OP)),
+            x.case(("marks OR pulls OR content_arm = 'C03'", x.array_of(OP, put("row"))), otherwise=x.array_of(OP)),
+            x.case(("flag_arm = 'F00'", x.array_of(OP, put(pull_flags("row", "r.flags")))), ("flag_arm = 'F01'", x.array_of(OP, put(rebase("row", "merged")))), ("flag_arm = 'F02'", x.array_of(OP, put(pull_flags("row", "merged")))), ("flag_arm = 'F04'", x.array_of(OP, put(folded))), otherwise=x.array_of(OP)),
+        ])
+        + ")",
+    )
+    change = lambda kind, **given: x.change(kind, handle="handle", **given)
+    update = lambda match: change("Update", object="l.object", if_match=match)
+    pushed = [
+        ("arm = 'M03'", may("content"), update("l.base.revision")),
+        ("arm = 'M04'", may("remove"), change("Remove", to="l.origin.collection", if_match="l.base.revision")),
+        ("arm = 'M06'", may("add"), change("Add", link_id="l.link_id", flags="l.flags", object="l.object")),
+        ("arm = 'M10'", True, change("Add", link_id="l.link_id", flags="l.flags", origin="l.origin", object="l.object")),
+        ("content_arm = 'C07'", may("content"), update("l.base.revision")),
+        ("content_arm = 'C08c'", True, update("r.revision")),
+        ("flag_arm IN ('F03', 'F04')", may("flags"), change("SetFlags", flags="merged")),
+    ]
+    told = lambda kind: x.array_of(EVENT, x.event(kind, "handle"))
+    silent = x.array_of(EVENT)
+    moved = x.case(("marks", told("Conflicted")), ("pulls", told("ContentChanged")), otherwise=silent)
+    flags = x.case(("flag_arm IN ('F00', 'F02', 'F04')", told("FlagsChanged")), otherwise=silent)
+    steps.append({
         "ops": ops,
-        "push": out,
-        "events": events,
-        "pulled": count(arm.isin("M01", "M07", "M08") | safe(fa.isin("F00", "F02", "F04"))),
-        "conflicts": count(c("marks")),
-        "refreshed": count(c("pulls")),
+        "push": x.case(*[(c, v) for c, allowed, v in pushed if allowed], otherwise=x.null(CHANGE)),
+        "events": x.case(("arm IN ('M01', 'M08')", told("Added")), ("arm = 'M07'", told("Vanished")), otherwise=f"concat({moved}, {flags})"),
+        "pulled": "IF(arm IN ('M01', 'M07', 'M08') OR coalesce(flag_arm IN ('F00', 'F02', 'F04'), false), 1L, 0L)",
+        "conflicts": "IF(marks, 1L, 0L)",
+        "refreshed": "IF(pulls, 1L, 0L)",
     })
-    d = d.withColumn("stash", F.when(c("push").isNotNull(), stash))
+    steps.append({"stash": "IF(push IS NOT NULL, " + x.case(("arm = 'M06'", raised), ("flag_arm IN ('F03', 'F04')", folded), otherwise="l") + ", NULL)"})
+    d = candidates
+    for step in steps:
+        d = d.selectExpr("*", *[f"{v} AS {k}" for k, v in step.items()])
     return d.select(*KEY, "l", "r", "arm", "content_arm", "flag_arm", "merged", "ops", "push", "stash", "events", "pulled", "conflicts", "refreshed")
 
 
@@ -226,6 +208,13 @@ def write_ops(decisions: DataFrame) -> DataFrame:
 
 
 def events(decisions: DataFrame) -> DataFrame:
-    """Events in order of (collection, handle, seq)."""
+    """Events of the merge; their order within a collection is that of (phase, handle, seq)."""
     each = decisions.select("collection", F.posexplode_outer("events").alias("seq", "e"))
     return each.where("e IS NOT NULL").select(F.lit(0).alias("phase"), "collection", "seq", "e.*")
+
+
+def ordered(merged: DataFrame, pushed: DataFrame | None = None) -> DataFrame:
+    """(collection, phase, seq, kind, handle) of all events of a sync, each collection's in order: those of the merge by handle, then
+    those of the push in order of the results."""
+    every = merged if pushed is None else merged.unionByName(pushed)
+    return every.orderBy("collection", "phase", F.when(F.col("phase") == 0, F.col("handle")), "seq").select("collection", "phase", "seq", "kind", "handle")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .engine import Engine
 from .functions import flags as fl
-from .model import FULL, KEEP_BOTH, MANUAL, META, PREFER_LOCAL, PREFER_REMOTE, Rights, SyncOptions
+from .functions.handles import content_hash
+from .model import CHANGE, FULL, KEEP_BOTH, MANUAL, META, PREFER_LOCAL, PREFER_REMOTE, Rights, SyncOptions
 from .operators import hub as hb
 from .operators import mutate as mu
 from .operators import ops as wo
@@ -18,7 +22,9 @@ from .operators import rekey as rk
 from .operators import upgrade as up
 from .operators import views
 from .plans import merge
-from .sources.remote import enumerate_items
+from .sources.remote import TableRemote, enumerate_items
+from .sources.storage import scratch_store, shared_folder
+from .streaming.sync import sync_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,11 +142,9 @@ RIGHTS = {"all": Rights(), "none": Rights(False, False, False, False), "no_add":
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({decided(SyncOptions(rights=r))} SELECT '{n}' AS rights, push_kind, count(*) AS n FROM dec WHERE push_kind IS NOT NULL GROUP BY push_kind)" for n, r in RIGHTS.items()))
 def rights_matrix(spark, sf):
-    rows = []  # at most four kinds for each set of rights; one plan for all sets takes minutes to optimise
-    for name, rights in RIGHTS.items():
-        kinds = merge.pushes(_full(spark, sf, SyncOptions(rights=rights))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-        rows += [(name, r["kind"], r["n"]) for r in kinds.collect()]
-    return spark.createDataFrame(rows, "rights string, push_kind string, n long")
+    found = merge.full_candidates(fx.replica(spark, sf), fx.remote_items(spark, sf))
+    sets = [merge.pushes(merge.decide(found, SyncOptions(rights=r))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rights"), F.col("kind").alias("push_kind"), "n") for name, r in RIGHTS.items()]
+    return reduce(DataFrame.unionByName, sets)
 
 
 @query(decided(SyncOptions(conflict=PREFER_LOCAL)) + """SELECT collection, handle, push_kind AS kind, CASE WHEN push_kind = 'Add' THEN link END AS link_id, CASE push_kind WHEN 'Add' THEN array_to_string(lf, ',') WHEN 'SetFlags' THEN array_to_string(merged, ',') END AS flags,
@@ -205,9 +209,9 @@ def enumerate_delta(spark, sf):
 
 
 def _batch(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    """A mutation for every seventh order, unknown handles among them."""
+    """A mutation for every order, unknown handles among them."""
     c, k = F.col, F.col("o_orderkey")
-    d = fx.table(spark, sf, "orders").where(k % 7 == 1)
+    d = fx.table(spark, sf, "orders")
     n = k.cast("string")
     given = {"flags": F.when(F.lit(kind in ("set_flags", "add")), F.array(F.lit("seen"), F.lit("draft"), F.lit("seen"))), "object": F.when(F.lit(kind in ("edit", "add")), F.concat(F.lit("n"), n)), "meta": F.when((k % 2 == 0) & F.lit(kind == "edit"), F.concat(F.lit("m"), n)), "sort_key": F.when((k % 2 == 0) & F.lit(kind in ("edit", "add")), F.lit("z")),
              "to_collection": F.when(F.lit(kind in ("copy", "move")), F.lit("archive")), "to_handle": F.when(F.lit(kind in ("copy", "move")), F.concat(F.lit("new-"), n)), "link_id": F.when(F.lit(kind == "add"), F.concat(F.lit("l"), n))}
@@ -225,7 +229,7 @@ def _mutated(kind: str) -> Query:
 
 
 def _mutation_sql(rows: str) -> str:
-    return f"""WITH {SIDES}, m AS (SELECT * FROM sides WHERE has_local AND k % 7 = 1), key AS (SELECT *, lpad(handle, 10, '0') AS sk FROM m), out AS ({rows})
+    return f"""WITH {SIDES}, m AS (SELECT * FROM sides WHERE has_local), key AS (SELECT *, lpad(handle, 10, '0') AS sk FROM m), out AS ({rows})
 SELECT collection, handle, meta, sort_key, status, level, link_id, object, array_to_string(flags, ',') AS flags, conflict_revision, CASE WHEN based THEN array_to_string(base_flags, ',') END AS base_flags, CASE WHEN based THEN base_revision END AS base_revision, CASE WHEN based THEN base_object END AS base_object, origin_collection, origin_handle FROM out"""
 
 
@@ -241,13 +245,13 @@ MUTATIONS = {
 for _kind, _sql in MUTATIONS.items():
     query(_mutation_sql(_sql), f"mutate_{_kind}")(_mutated(_kind))
 
-query(f"""WITH {SIDES}, live AS (SELECT DISTINCT collection, link FROM sides WHERE has_local AND status <> 'Tombstone' AND link IS NOT NULL), m AS (SELECT * FROM sides s WHERE k % 7 = 1 AND NOT EXISTS (SELECT 1 FROM live WHERE live.collection = s.collection AND live.link = 'l' || s.handle))
+query(f"""WITH {SIDES}, live AS (SELECT DISTINCT collection, link FROM sides WHERE has_local AND status <> 'Tombstone' AND link IS NOT NULL), m AS (SELECT * FROM sides s WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.collection = s.collection AND live.link = 'l' || s.handle))
 SELECT collection, 'tmp-' || handle AS handle, NULL AS meta, CASE WHEN k % 2 = 0 THEN 'z' ELSE '' END AS sort_key, 'Created' AS status, 2 AS level, 'l' || handle AS link_id, 'n' || handle AS object, 'draft,seen' AS flags, NULL AS conflict_revision, NULL AS base_flags, NULL AS base_revision, NULL AS base_object, NULL AS origin_collection, NULL AS origin_handle FROM m""", "mutate_add")(_mutated("add"))
 
 
 @query(f"""WITH {SIDES}, live AS (SELECT DISTINCT collection, link FROM sides WHERE has_local AND status <> 'Tombstone' AND link IS NOT NULL)
-SELECT s.collection, 'tmp-' || handle AS handle, 'LinkExists' AS reason FROM sides s JOIN live ON live.collection = s.collection AND live.link = 'l' || s.handle WHERE k % 7 = 1
-UNION ALL SELECT collection, handle, 'UnknownHandle' FROM sides WHERE k % 7 = 1 AND NOT has_local""")
+SELECT s.collection, 'tmp-' || handle AS handle, 'LinkExists' AS reason FROM sides s JOIN live ON live.collection = s.collection AND live.link = 'l' || s.handle
+UNION ALL SELECT collection, handle, 'UnknownHandle' FROM sides WHERE NOT has_local""")
 def add_collision(spark, sf):
     rows = fx.replica(spark, sf)
     rejects = [mu.mutate(rows, _batch(spark, sf, kind))[1] for kind in ("add", "remove")]
@@ -270,7 +274,8 @@ def _after(rows: DataFrame) -> DataFrame:
 @query(f"WITH {LIBRARY} SELECT collection, handle, 1 AS level, hash AS link_id, full_meta AS meta, key AS sort_key, NULL AS object, 'r0' AS base_revision, NULL AS base_object FROM lib WHERE level = 0")
 def upgrade_meta(spark, sf):
     rows = fx.library(spark, sf)
-    return _after(up.patched(up.pending(rows, rows, META), fx.library_fetched(spark, sf, False), META))
+    asked = rows.select("collection", "handle").unionByName(rows.select("collection", F.concat(F.lit("nobody-"), "handle").alias("handle")))
+    return _after(up.patched(up.pending(rows, asked, META), fx.library_fetched(spark, sf, False), META))
 
 
 def _upgraded(spark, sf):
@@ -291,19 +296,19 @@ def upgrade_report(spark, sf):
     return up.report(*_upgraded(spark, sf)).select(*[F.col(x).cast("long").alias(x) for x in ("upgraded", "fetched", "deduped")])
 
 
-REKEY = f"""WITH {LIBRARY}, o0 AS (SELECT *, CASE k % 9 WHEN 1 THEN 'Dirty' WHEN 2 THEN 'Tombstone' WHEN 3 THEN 'Created' WHEN 4 THEN 'Conflict' ELSE 'Clean' END AS status FROM lib),
-o AS (SELECT *, CASE WHEN level > 0 THEN hash END AS link, CASE WHEN level = 2 THEN CASE WHEN status IN ('Dirty', 'Conflict') AND k % 2 = 0 THEN 'e' || handle ELSE hash END END AS obj, CASE WHEN level = 2 THEN hash END AS bobj, CASE WHEN k % 8 = 0 OR level = 0 THEN '' ELSE key END AS okey, CASE WHEN level > 0 THEN full_meta END AS ometa FROM o0 WHERE status <> 'Created'),
+REKEY = f"""WITH {LIBRARY}, o0 AS (SELECT *, CASE (k // 3) % 9 WHEN 1 THEN 'Dirty' WHEN 7 THEN 'Dirty' WHEN 2 THEN 'Tombstone' WHEN 3 THEN 'Created' WHEN 4 THEN 'Conflict' WHEN 8 THEN 'Conflict' ELSE 'Clean' END AS status FROM lib),
+o AS (SELECT *, CASE WHEN status = 'Dirty' AND k % 4 > 0 THEN {_set("((k + i - 1) % 3 = 0) <> ((k + i - 1) % 4 = 1)")} ELSE flags END AS lf, CASE WHEN level > 0 THEN hash END AS link, CASE WHEN level = 2 THEN CASE WHEN status IN ('Dirty', 'Conflict') AND k % 4 < 2 THEN 'e' || handle ELSE hash END END AS obj, CASE WHEN level = 2 THEN hash END AS bobj, CASE WHEN k % 8 = 0 OR level = 0 THEN '' ELSE key END AS okey, CASE WHEN level > 0 THEN full_meta END AS ometa FROM o0 WHERE status <> 'Created'),
 ol AS (SELECT * FROM o WHERE link IS NOT NULL QUALIFY row_number() OVER (PARTITION BY collection, link ORDER BY handle DESC) = 1),
 n0 AS (SELECT source AS collection, 'v1-' || doc_id AS handle, doc_id AS pos, sha256(text) AS link, lang || ':' || n_chars AS meta, lpad(cast(n_chars AS varchar), 10, '0') AS key FROM documents WHERE doc_id % 12 <> 5 UNION ALL SELECT 'src0', 'b-' || item_id, item_id + 1000000000, sha256(text), 'bench', '' FROM benchmark),
 n AS (SELECT collection, handle, pos, link, meta, CASE WHEN pos % 6 = 0 THEN '' ELSE key END AS key, {_set("(pos + i - 1) % 4 = 0")} AS nf, row_number() OVER (PARTITION BY collection, link ORDER BY pos, handle) AS turn FROM n0),
-j AS (SELECT n.*, ol.handle AS oh, ol.status AS os, ol.flags AS of, ol.obj, ol.bobj, ol.level AS ol, ol.okey, CASE WHEN ol.handle IS NOT NULL THEN {_merge("ol.flags", "ol.flags", "n.nf")} ELSE nf END AS mf FROM n LEFT JOIN ol ON n.turn = 1 AND n.collection = ol.collection AND n.link = ol.link),
+j AS (SELECT n.*, ol.handle AS oh, ol.status AS os, ol.lf AS of, ol.obj, ol.bobj, ol.level AS ol, ol.okey, CASE WHEN ol.handle IS NOT NULL THEN {_merge("ol.flags", "ol.lf", "n.nf")} ELSE nf END AS mf FROM n LEFT JOIN ol ON n.turn = 1 AND n.collection = ol.collection AND n.link = ol.link),
 u AS (SELECT o.*, NOT EXISTS (SELECT 1 FROM j WHERE j.collection = o.collection AND j.oh = o.handle) AS free, status IN ('Dirty', 'Conflict') AND obj IS NOT NULL AND obj IS DISTINCT FROM bobj AS staged FROM o)
 """
 
 
 @query(REKEY + """SELECT collection, handle, CASE WHEN oh IS NULL THEN 'fresh' ELSE 'carried' END AS outcome, CASE WHEN oh IS NULL THEN 'Clean' WHEN os IN ('Tombstone', 'Conflict') THEN os WHEN (os = 'Dirty' AND obj IS NOT NULL AND obj IS DISTINCT FROM bobj) OR mf <> nf THEN 'Dirty' ELSE 'Clean' END AS status, CASE WHEN oh IS NULL THEN 1 ELSE ol END AS level, link AS link_id, obj AS object, array_to_string(mf, ',') AS flags,
   CASE WHEN os = 'Conflict' THEN 'r1' END AS conflict_revision, array_to_string(nf, ',') AS base_flags, 'r1' AS base_revision, bobj AS base_object, NULL AS origin_collection, NULL AS origin_handle, CASE WHEN oh IS NOT NULL AND key = '' THEN okey ELSE key END AS sort_key FROM j
-UNION ALL SELECT collection, handle, CASE WHEN NOT free THEN 'moved' WHEN staged THEN 'resurrected' WHEN status <> 'Clean' THEN 'lost' ELSE 'gone' END, CASE WHEN free AND staged THEN 'Created' END, CASE WHEN free AND staged THEN level END, CASE WHEN free AND staged THEN link END, CASE WHEN free AND staged THEN obj END, CASE WHEN free AND staged THEN array_to_string(flags, ',') END, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN free AND staged THEN okey END FROM u""")
+UNION ALL SELECT collection, handle, CASE WHEN NOT free THEN 'moved' WHEN staged THEN 'resurrected' WHEN status <> 'Clean' THEN 'lost' ELSE 'gone' END, CASE WHEN free AND staged THEN 'Created' END, CASE WHEN free AND staged THEN level END, CASE WHEN free AND staged THEN link END, CASE WHEN free AND staged THEN obj END, CASE WHEN free AND staged THEN array_to_string(lf, ',') END, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN free AND staged THEN okey END FROM u""")
 def rekey_rebuild(spark, sf):
     d = rk.rebuild(*fx.rekeyed(spark, sf)).withColumn("p", F.element_at("ops", -1)["placement"])
     return d.select("collection", "handle", "outcome", *shown("p."), F.col("p.sort_key").alias("sort_key"))
@@ -316,7 +321,7 @@ def rekey_report(spark, sf):
 
 HUB = f"""c AS (SELECT c_custkey AS k, cast(c_custkey AS varchar) AS link, c_mktsegment AS seg FROM customer),
 items AS (SELECT k, link, {_set("(k + i - 1) % 3 = 0")} AS flags, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 6 = 0 THEN 'er' ELSE 'o0' END AS object, seg AS meta, lpad(link, 10, '0') AS sort_key, 1 AS level, k % 9 = 4 AS deleted FROM c WHERE k % 4 <> 3),
-bind AS (SELECT k, link, source, substr(source, 1, 1) || link AS handle, k % 8 <> 5 AS based, CASE WHEN k % 8 = 2 THEN []::varchar[] ELSE {_set("(k + i - 1) % 3 = 0")} END AS bf, k % 14 = 3 + off AS conflicted FROM c, (VALUES ('left', 0), ('right', 1)) s(source, off) WHERE k % 4 <> 3 AND k % 4 <> 1 + off)"""
+bind AS (SELECT k, link, source, substr(source, 1, 1) || link AS handle, k % 8 <> 5 AS based, CASE WHEN k % 8 = 2 THEN []::varchar[] ELSE {_set("(k + i - 1) % 3 = 0")} END AS bf, k % 14 = 4 + off AS conflicted FROM c, (VALUES ('left', 0), ('right', 1)) s(source, off) WHERE k % 4 <> 3 AND k % 4 <> 1 + off)"""
 
 
 def _projected(source: str) -> None:
@@ -382,3 +387,245 @@ def sorted_page(spark, sf):
 def soft_delete_load(spark, sf):
     rows = fx.replica(spark, sf).withColumn("hidden", F.lit(False))
     return views.load(wo.apply_ops_soft(rows, merge.write_ops(_full(spark, sf)))).select("collection", "handle")
+
+
+# Snapshots that contradict themselves, duplicates, single functions
+
+CONTRADICTED = DELTA.replace("WHEN gone THEN false", "WHEN gone OR (in_delta AND k % 41 IN (7, 20)) THEN false")
+
+
+@query(decided(source=CONTRADICTED) + ARMS + " UNION ALL SELECT collection, 'ghost-' || handle, 'M12', NULL, NULL, NULL, NULL FROM sides WHERE k % 43 = 5")
+def merge_vanished_first(spark, sf):
+    return _arms(merge.decide(merge.delta_candidates(fx.replica(spark, sf), *fx.contradictory_delta(spark, sf))))
+
+
+@query(f"WITH {SIDES} SELECT collection, handle, CASE WHEN k % 3 = 0 THEN 'r9' ELSE rrev END AS revision, array_to_string(CASE WHEN k % 3 = 0 THEN ['later'] ELSE rf END, ',') AS flags FROM sides WHERE listed")
+def snapshot_last_wins(spark, sf):
+    items = fx.remote_items(spark, sf).withColumn("pos", F.lit(1))
+    again = items.where("cast(handle AS long) % 3 = 0").select("collection", "handle", F.array(F.lit("later")).alias("flags"), F.lit("r9").alias("revision"), F.lit(2).alias("pos"))
+    return merge.latest(again.unionByName(items), F.col("pos")).select("collection", "handle", "revision", fl.text(F.col("flags")).alias("flags"))
+
+
+@query(f"WITH {SIDES} SELECT k, array_to_string(list_filter(lf, lambda f: NOT list_contains(bf, f)), ',') AS added, array_to_string(list_filter(bf, lambda f: NOT list_contains(lf, f)), ',') AS removed, list_contains(lf, 'seen') AS seen, array_to_string(list_sort(list_distinct(list_concat(rf, ['seen', 'Seen']))), ',') AS canonical FROM sides")
+def flag_functions(spark, sf):
+    c = F.col
+    dirty = fl.canonical(F.concat(F.array(F.lit("seen"), F.lit(None).cast("string"), F.lit("Seen")), F.reverse("rf"), c("rf")))
+    return fx._sides(spark, sf).select("k", fl.text(fl.added(c("bf"), c("lf"))).alias("added"), fl.text(fl.removed(c("bf"), c("lf"))).alias("removed"), fl.contains(c("lf"), "seen").alias("seen"), fl.text(dirty).alias("canonical"))
+
+
+@query("SELECT cast(doc_id AS varchar) AS handle, sha256(text) AS hash FROM documents")
+def content_hashes(spark, sf):
+    return fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("handle"), content_hash(F.encode("text", "UTF-8")).alias("hash"))
+
+
+@query(f"WITH {SIDES} SELECT collection, handle FROM sides WHERE has_local AND status = 'Created' AND oc IS NOT NULL AND k % 8 <> 0")
+def lingering(spark, sf):
+    rows = fx.replica(spark, sf)
+    sent = fx._placement(fx._sides(spark, sf).where("k % 8 = 0").withColumn("collection", F.lit("sent")).withColumn("status", F.lit("Clean")), "'x'")
+    return views.lingering(rows.unionByName(sent)).select("collection", "handle")
+
+
+@query(decided() + "SELECT s.collection, s.handle FROM sides s JOIN dec d ON s.collection = d.collection AND s.handle = d.handle WHERE d.pulls AND s.has_local AND s.link IS NOT NULL AND s.based AND s.k % 3 = 0")
+def stale_dedup(spark, sf):
+    """What a later hydration would fill from another row with the link, after a sync took the bodies of changed items."""
+    rows = wo.apply_ops(fx.replica(spark, sf), merge.write_ops(_full(spark, sf)))
+    other = rows.where("link_id IS NOT NULL AND cast(handle AS long) % 3 = 0").withColumn("collection", F.lit("other")).withColumn("object", F.lit("kept"))
+    return views.stale_dedup(rows.unionByName(other)).where("collection <> 'other'").select("collection", "handle")
+
+
+@query(f"""WITH {LIBRARY}, t AS (SELECT *, k % 7 <> 0 AS got FROM lib WHERE level < 2) SELECT collection, handle, CASE WHEN got THEN 2 ELSE 1 END AS level, hash AS link_id, full_meta AS meta, key AS sort_key, CASE WHEN got THEN hash END AS object, CASE WHEN got THEN 'r1' ELSE 'r0' END AS base_revision, CASE WHEN got THEN hash END AS base_object FROM t""")
+def upgrade_without_body(spark, sf):
+    rows = fx.library(spark, sf)
+    return _after(up.patched(up.pending(rows, rows, FULL), fx.library_fetched(spark, sf, True, some=True), FULL))
+
+
+@query(REKEY + "SELECT collection, handle, key AS sort_key, meta FROM j WHERE oh IS NOT NULL")
+def rekey_fetched_keys(spark, sf):
+    """Rekey with the fetched sort key and summary taken as they are, empty ones too."""
+    rebuilt = rk.rebuild(*fx.rekeyed(spark, sf), prefer_known_sort_key=False).where("outcome = 'carried'")
+    return rebuilt.select("collection", "handle", F.col("ops")[0]["placement"]["sort_key"].alias("sort_key"), F.col("ops")[0]["placement"]["meta"].alias("meta"))
+
+
+@query(decided() + RESULTS + """, p8 AS (SELECT collection, 'ghost-' || handle AS handle FROM dec WHERE k % 9 = 1)
+SELECT collection, p AS "case", count(*) AS n, count(*) FILTER (p <> 'P6') AS pushed FROM res GROUP BY collection, p UNION ALL SELECT collection, 'P8', count(*), count(*) FROM p8 GROUP BY collection""")
+def push_unmatched(spark, sf):
+    """Outcomes of which some were never asked for: an accepted one counts and changes nothing."""
+    d = _full(spark, sf)
+    own = fx.push_results(spark, sf, merge.pushes(d))
+    ghosts = d.where("cast(handle AS long) % 9 = 1").selectExpr("collection", "concat('ghost-', handle) AS handle", "'Accepted' AS outcome", "cast(NULL AS string) AS assigned", "'r9' AS revision", "0 AS seq")
+    return pu.confirm(d, own.unionByName(ghosts)).groupBy("collection", "case").agg(F.count(F.lit(1)).alias("n"), F.sum("pushed").alias("pushed"))
+
+
+@query(decided() + RESULTS + """, ev AS (
+  SELECT collection, 0 AS phase, handle AS who, 0::bigint AS turn, handle, unnest(list_concat(CASE WHEN arm IN ('M01', 'M08') THEN ['Added'] WHEN arm = 'M07' THEN ['Vanished'] WHEN marks THEN ['Conflicted'] WHEN pulls THEN ['ContentChanged'] ELSE []::varchar[] END, CASE WHEN fa IN ('F00', 'F02', 'F04') THEN ['FlagsChanged'] ELSE []::varchar[] END)) AS kind FROM dec
+  UNION ALL SELECT collection, 1, '', k, CASE WHEN p = 'P4' THEN 'srv-' || handle ELSE handle END, CASE p WHEN 'P1' THEN 'FlagsChanged' WHEN 'P2' THEN 'ContentChanged' WHEN 'P3' THEN 'Vanished' ELSE 'Created' END FROM res WHERE p <> 'P6')
+SELECT collection, kind, handle, row_number() OVER (PARTITION BY collection ORDER BY phase, who, turn, CASE kind WHEN 'FlagsChanged' THEN 1 ELSE 0 END) AS place FROM ev""")
+def sync_event_order(spark, sf):
+    """Events of the merge by handle, then those of the push in order of its results, with their place in the collection's report."""
+    d = _full(spark, sf)
+    done = pu.confirm(d, fx.push_results(spark, sf, merge.pushes(d)))
+    every = merge.events(d).unionByName(pu.confirm_events(done))
+    at = Window.partitionBy("collection").orderBy("phase", F.when(F.col("phase") == 0, F.col("handle")), "seq")
+    return every.select("collection", "kind", "handle", F.row_number().over(at).cast("long").alias("place"))
+
+
+# Stores and remotes
+
+
+@query(f"WITH {LOG} SELECT collection, handle, flags, 'r' || rev AS revision, 'complete' AS snapshot FROM srv WHERE kind <> 'error' UNION ALL SELECT collection, handle, flags, 'r' || rev, 'bad cursor' FROM srv WHERE kind <> 'error'")
+def enumerate_complete(spark, sf):
+    """Complete snapshots, asked for without a cursor and with one that can't be read; nothing is said to have vanished."""
+    remote = TableRemote(spark, fx.logged(spark, sf)[0])
+    remote.log = fx.logged(spark, sf)[1]
+    parts = []
+    for name, cursor in (("complete", None), ("bad cursor", b"\xff?")):
+        for k in range(4):
+            told = remote.enumerate(f"c{k}", cursor)
+            parts.append(told.items.where(F.lit(told.complete)).select("collection", "handle", fl.text(F.col("flags")).alias("flags"), "revision", F.lit(name).alias("snapshot")))
+            parts.append(told.vanished.select("collection", "handle", F.lit("vanished").alias("flags"), F.lit("").alias("revision"), F.lit(name).alias("snapshot")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fetched(full: bool) -> Query:
+    def run(spark, sf):
+        server = fx.server(spark, sf)
+        asked = server.selectExpr("IF(seq % 5 = 0, concat('nobody-', handle), handle) AS handle").orderBy(F.desc("handle"))
+        got = TableRemote(spark, server.withColumn("collection", F.lit("all"))).fetch("all", asked, full)
+        return got.select("handle", "link_id", "meta", "sort_key", "object", "size", F.sha2("bytes", 256).alias("body"), "revision")
+
+    return run
+
+
+for _name, _body in (("fetch_meta", False), ("fetch_full", True)):
+    _given = "sha256(text) AS object, cast(strlen(text) AS bigint) AS size, sha256(text) AS body" if _body else "NULL AS object, cast(NULL AS bigint) AS size, NULL AS body"
+    query(f"SELECT cast(doc_id AS varchar) AS handle, sha256(text) AS link_id, lang || ':' || n_chars AS meta, lpad(cast(n_chars AS varchar), 10, '0') AS sort_key, {_given}, 'r' || (doc_id % 3) AS revision FROM documents WHERE (doc_id + 1) % 5 <> 0", _name)(_fetched(_body))
+
+
+OUT = """WITH o AS (SELECT 'all' AS collection, doc_id AS k, cast(doc_id AS varchar) AS h, 'r' || (doc_id % 3) AS rev, doc_id % 10 AS m FROM documents), p AS (SELECT *, CASE WHEN m IN (1, 4, 6) THEN 'none-' || h WHEN m > 6 THEN 'new-' || h ELSE h END AS handle, k % 4 = 1 AND m IN (2, 3, 5) AS stale FROM o),
+q AS (SELECT *, row_number() OVER (ORDER BY handle) AS n, (SELECT max(doc_id) + 1 FROM documents) AS clock, (m IN (2, 3, 5) AND stale) OR m = 6 OR (m = 7 AND k % 4 >= 2) AS refused FROM p),
+r AS (SELECT *, CASE WHEN NOT refused THEN CASE m WHEN 7 THEN h || '-copy' WHEN 8 THEN 'app-' || (clock + n) END END AS assigned FROM q)
+"""
+
+
+def _pushed(spark, sf) -> tuple[TableRemote, DataFrame]:
+    shared_folder(spark)
+    remote = TableRemote(spark, fx.server(spark, sf).withColumn("collection", F.lit("all")))
+    changes = fx.outgoing(spark, sf).withColumn("collection", F.lit("all")).withColumn("origin", F.when(F.col("origin").isNotNull(), F.col("origin").withField("collection", F.lit("all"))))
+    return remote, remote.push("all", changes.select("collection", *[F.col(f.name).cast(f.dataType) for f in CHANGE.fields]))
+
+
+@query(OUT + "SELECT handle, CASE WHEN refused THEN 'Rejected' ELSE 'Accepted' END AS outcome, assigned, CASE WHEN NOT refused THEN CASE WHEN m = 5 THEN 'r' || (k % 3 + 1) WHEN m IN (7, 8) THEN 'r1' WHEN m IN (0, 2, 3) THEN rev END END AS revision FROM r")
+def push_remote(spark, sf):
+    """What a remote answers to changes of every kind: stale ones, those of missing handles, moves, copies and appended items."""
+    return _pushed(spark, sf)[1].select("handle", "outcome", "assigned", "revision")
+
+
+@query(OUT + """SELECT 'all' AS collection, h AS handle, array_to_string(CASE WHEN m = 0 THEN ['draft', 'seen'] ELSE """ + _set("(k + i - 1) % 3 = 0") + """ END, ',') AS flags, CASE WHEN m = 5 AND NOT refused THEN 'body-' || h ELSE (SELECT sha256(text) FROM documents WHERE doc_id = k) END AS object, k % 3 + CASE WHEN m = 5 AND NOT refused THEN 1 ELSE 0 END AS rev, CASE WHEN m IN (0, 5) AND NOT refused THEN clock + n ELSE k + 1 END AS seq FROM r WHERE NOT (m IN (2, 3) AND NOT refused)
+UNION ALL SELECT 'archive', h || '-moved', array_to_string(""" + _set("(k + i - 1) % 3 = 0") + """, ','), (SELECT sha256(text) FROM documents WHERE doc_id = k), k % 3, clock + n FROM r WHERE m = 2 AND NOT refused
+UNION ALL SELECT 'all', assigned, 'draft,seen', CASE WHEN m = 7 THEN (SELECT sha256(text) FROM documents WHERE doc_id = k) ELSE 'body-' || h END, 1, clock + n FROM r WHERE assigned IS NOT NULL""")
+def push_remote_server(spark, sf):
+    """The server after those changes."""
+    return _pushed(spark, sf)[0].server.select("collection", "handle", fl.text(F.col("flags")).alias("flags"), "object", "rev", "seq")
+
+
+@query(decided() + LAST.split("SELECT collection, handle, kind, status")[0] + """, kept AS (SELECT * FROM sides s WHERE has_local AND NOT EXISTS (SELECT 1 FROM fin WHERE fin.collection = s.collection AND fin.handle = s.handle))
+SELECT collection, handle, status, level, link AS link_id, obj AS object, array_to_string(lf, ',') AS flags, crev AS conflict_revision, CASE WHEN based THEN array_to_string(bf, ',') END AS base_flags, CASE WHEN based THEN 'r0' END AS base_revision, CASE WHEN based THEN bobj END AS base_object, oc AS origin_collection, CASE WHEN oc IS NOT NULL THEN handle END AS origin_handle FROM kept
+UNION ALL SELECT collection, handle, status, level, link_id, object, array_to_string(flags, ','), conflict_revision, array_to_string(base_flags, ','), base_revision, base_object, origin_collection, CASE WHEN origin_collection IS NOT NULL THEN handle END FROM fin WHERE kind = 'UpsertPlacement'""")
+def store_load(spark, sf):
+    """A replica written to a store, a merge's operations written after it, and what open shows of each collection then."""
+    store = scratch_store(spark)
+    rows = fx.replica(spark, sf)
+    store.write(rows.select(F.lit(0).alias("phase"), F.lit(0).alias("seq"), F.lit("UpsertPlacement").alias("kind"), "collection", "handle", F.struct(*rows.columns).alias("placement")))
+    store.write(merge.write_ops(merge.decide(merge.full_candidates(store.placements, fx.remote_items(spark, sf)))))
+    names = sorted(r[0] for r in store.placements.select("collection").distinct().collect())
+    return reduce(DataFrame.unionByName, [store.load(n)[0] for n in names]).select("collection", "handle", *shown())
+
+
+@query("SELECT sha256(text) AS hash, max(cast(strlen(text) AS bigint)) AS size, sha256(text) AS body FROM documents GROUP BY sha256(text)")
+def store_objects(spark, sf):
+    """Bodies told by hash in three commits: first some without bytes, then all with them, then all again."""
+    store = scratch_store(spark)
+    body = fx.server(spark, sf).selectExpr("object AS hash", "size", "bytes")
+    none = merge.write_ops(_full(spark, sf)).limit(0)
+    for given in (body.where("pmod(hash(hash), 2) = 0").withColumn("bytes", F.lit(None).cast("binary")), body, body):
+        store.write(none, given)
+    return store.objects.select("hash", "size", F.sha2("bytes", 256).alias("body"))
+
+
+@query("SELECT DISTINCT o_orderpriority AS collection, 'second' AS mark, 'batch-2' AS batch FROM orders")
+def store_checkpoints(spark, sf):
+    """Checkpoints, set twice for each collection; the mark of a stream's batch stays through other commits."""
+    store = scratch_store(spark)
+    none = merge.write_ops(_full(spark, sf)).limit(0)
+    names = sorted(r[0] for r in fx.table(spark, sf, "orders").select("o_orderpriority").distinct().collect())
+    for mark in ("first", "second"):
+        for k, name in enumerate(names):
+            store.write(none, checkpoint=(name, mark.encode()), batch=None if k else f"batch-{1 + (mark == 'second')}", stream="s")
+    rows = [(n, store.load(n)[1].decode(), store.last_batch("s")) for n in names]
+    return spark.createDataFrame(rows, "collection string, mark string, batch string")
+
+
+@query(f"""WITH {LOG}, s AS (SELECT * FROM srv WHERE kind <> 'error') SELECT run, count(*) FILTER (run = 'first' OR (run = 'full' AND cast(handle AS bigint) % 3 = 0)) AS pulled FROM s, (VALUES ('first'), ('delta'), ('full')) r(run) GROUP BY run""")
+def sync_full_override(spark, sf):
+    """Items that go without a trace in the server's log: a sync from the cursor can't see it, a full one does."""
+    items = fx.logged(spark, sf)[0].withColumn("collection", F.lit("all"))
+    engine = Engine(scratch_store(spark), TableRemote(spark, items))
+    found = [("first", engine.sync("all")["pulled"])]
+    engine.remote.server = items.where("cast(handle AS long) % 3 <> 0")
+    found += [(run, engine.sync("all", options)["pulled"]) for run, options in (("delta", SyncOptions()), ("full", SyncOptions(full=True)))]
+    return spark.createDataFrame(found, "run string, pulled long")
+
+
+@query(f"""WITH {LOG} SELECT 'c0' AS collection, 0::bigint AS rekeyed, count(*) AS pulled, 0::bigint AS dropped, 0::bigint AS fetches FROM srv WHERE kind <> 'error' AND collection = 'c0'""")
+def rekey_unlinked(spark, sf):
+    """A collection of which no row has a link is rebuilt without a fetch."""
+    items, _ = fx.logged(spark, sf)
+    engine = Engine(scratch_store(spark), TableRemote(spark, items))
+    engine.sync("c0")
+    engine.remote.server = items.withColumn("handle", F.concat(F.lit("v1-"), "handle"))
+    told = engine.rekey("c0")
+    return spark.createDataFrame([("c0", told["rekeyed"], told["pulled"], told["dropped"], engine.remote.calls["fetch"])], "collection string, rekeyed long, pulled long, dropped long, fetches long")
+
+
+@query("""WITH e AS (SELECT 'c' || (user_id % 4) AS collection, cast(user_id AS varchar) AS handle, arg_max(event_type, event_id) AS kind, max(event_id) AS seq FROM events GROUP BY ALL)
+SELECT collection, handle, 'Clean' AS status, CASE kind WHEN 'view' THEN 'seen' WHEN 'click' THEN 'flagged,seen' WHEN 'signup' THEN 'draft' ELSE '' END AS flags, 'r' || seq AS base_revision FROM e WHERE kind <> 'error'""")
+def stream_sync(spark, sf):
+    """events as a stream of changes in four files, each a micro-batch, merged into a store; then the stream is started again."""
+    store, root = scratch_store(spark), f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    rows = fx.feed(spark, sf)
+    top = rows.agg(F.max("seq")).first()[0] + 1
+    for k in range(4):
+        rows.where((F.col("seq") * 4 / top).cast("int") == k).coalesce(1).write.mode("append").parquet(f"{root}/changes")
+    changes = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/changes")
+    for _ in range(2):
+        sync_stream(changes, store, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    store.refresh()
+    return store.placements.select("collection", "handle", "status", fl.text(F.col("flags")).alias("flags"), F.col("base.revision").alias("base_revision"))
+
+
+@query(f"""WITH {SIDES}, m AS (SELECT *, 'l' || handle AS l FROM sides)
+SELECT collection, handle, 'Dirty' AS status, 'draft,seen' AS flags, 'n' || handle AS object, CASE WHEN oc IS NOT NULL THEN oc || '/' || handle END AS origin FROM m WHERE has_local AND status <> 'Created' UNION ALL SELECT collection, handle, 'Created', 'draft,seen', 'n' || handle, CASE WHEN oc IS NOT NULL THEN oc || '/' || handle END FROM m WHERE has_local AND status = 'Created'
+UNION ALL SELECT 'archive', 'new-' || handle, 'Created', 'flagged', 'n' || handle, collection || '/' || handle FROM m WHERE has_local
+UNION ALL SELECT collection, 'tmp-' || handle, 'Tombstone', '', 'a' || handle, NULL FROM m""")
+def mutate_in_order(spark, sf):
+    """On each handle flags, then a body, then a copy; then flags on the copy; two adds of one link, of which the second is refused,
+    and a removal of the first: six mutations an order in one batch, each seeing what the ones before it left."""
+    c, k = F.col, F.col("o_orderkey")
+    n = k.cast("string")
+    d = fx.table(spark, sf, "orders").withColumn("s", (k * 10).cast("int"))
+
+    def of(seq: int, kind: str, handle: Column, collection: Column = F.col("o_orderpriority"), **given: Column) -> DataFrame:
+        have = {"seq": c("s") + seq, "kind": F.lit(kind), "collection": collection, "handle": handle, **given}
+        return d.select(*[(have.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in mu.MUTATION.fields])
+
+    new, tmp = F.concat(F.lit("new-"), n), F.concat(F.lit("tmp-"), n)
+    link = F.concat(F.lit("fresh-"), n)
+    parts = [
+        of(1, "set_flags", n, flags=F.array(F.lit("seen"), F.lit("draft"))), of(2, "edit", n, object=F.concat(F.lit("n"), n)), of(3, "copy", n, to_collection=F.lit("archive"), to_handle=new), of(4, "set_flags", new, F.lit("archive"), flags=F.array(F.lit("flagged"))),
+        of(5, "add", tmp, object=F.concat(F.lit("a"), n), link_id=link), of(6, "add", F.concat(F.lit("two-"), n), object=F.concat(F.lit("b"), n), link_id=link), of(7, "remove", tmp),
+    ]
+    shared_folder(spark)
+    ops, _ = mu.mutate(fx.replica(spark, sf), reduce(DataFrame.unionByName, parts))
+    last = wo.last_wins(ops).select("placement.*")
+    origin = F.when(c("origin").isNotNull(), F.concat_ws("/", "origin.collection", "origin.handle"))
+    return last.select("collection", "handle", "status", fl.text(c("flags")).alias("flags"), "object", origin.alias("origin"))

@@ -41,8 +41,23 @@ def enumerate_items(server: DataFrame, log: DataFrame, cursor: int | None) -> tu
     return items, gone.join(server.select(*KEY), KEY, "left_anti")
 
 
+def in_order(df: DataFrame, *by: str) -> DataFrame:
+    """df with n, the place of each row (from 1) in the order of the columns by. Rows are dealt by ranges and numbered within these, so
+    that no single task sees them all; the driver sees one count for each range."""
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()).checkpoint()
+    counts = {r["__part"]: r["c"] for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("c")).collect()}
+    ahead, rows = 0, []
+    for part in sorted(counts):
+        rows.append((part, ahead))
+        ahead += counts[part]
+    offsets = F.broadcast(spark.createDataFrame(rows, "__part int, __ahead long"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
+    return dealt.withColumn("n", own).join(offsets, "__part").withColumn("n", F.col("n") + F.col("__ahead")).drop("__part", "__ahead")
+
+
 class TableRemote:
-    """A server in two DataFrames, items and the log of removals. mutable: contents have revisions.
+    """A server in two DataFrames, items and the log of removals. mutable: contents have revisions. calls counts what was asked.
 
     Each push replaces the DataFrames by new ones, cut from their lineage by a checkpoint in the cluster's shared folder.
     """
@@ -52,9 +67,11 @@ class TableRemote:
         self.server = server if server is not None else spark.createDataFrame([], SERVER)
         self.log = spark.createDataFrame([], LOG)
         self.clock = self.server.agg(F.max("seq")).first()[0] or 0
+        self.calls = {"enumerate": 0, "fetch": 0, "push": 0}
 
     def enumerate(self, collection: str, cursor: bytes | None) -> Snapshot:
         """A cursor that can't be read gives a complete snapshot."""
+        self.calls["enumerate"] += 1
         text = (cursor or b"").decode("utf-8", "replace")
         since = int(text) if text.isdecimal() else None
         own = F.col("collection") == collection
@@ -64,6 +81,7 @@ class TableRemote:
         return Snapshot(items, gone, since is None, str(self.clock).encode())
 
     def fetch(self, collection: str, handles: DataFrame, full: bool) -> DataFrame:
+        self.calls["fetch"] += 1
         rows = self.server.where(F.col("collection") == collection).join(handles.select("handle").distinct(), "handle", "left_semi")
         revision = F.concat(F.lit("r"), "rev") if self.mutable else F.lit(None).cast("string")
         body = [F.col(x) if full else F.lit(None).cast(SERVER[x].dataType).alias(x) for x in ("object", "size", "bytes")]
@@ -72,8 +90,8 @@ class TableRemote:
     def push(self, collection: str, changes: DataFrame) -> DataFrame:
         """(collection, handle, outcome, assigned, revision, seq); the server and its log move on."""
         c = F.col
-        order = F.row_number().over(Window.partitionBy("collection").orderBy("handle"))
-        x = changes.withColumn("n", order).withColumn("at", c("n") + F.lit(self.clock))
+        self.calls["push"] += 1
+        x = in_order(changes, "handle").withColumn("at", c("n") + F.lit(self.clock))
         s = self.server.select("collection", "handle", F.struct(*[f for f in SERVER.names if f not in KEY]).alias("s"))
         src = self.server.select(c("collection").alias("oc"), c("handle").alias("oh"), F.struct(*[f for f in SERVER.names if f not in KEY]).alias("o"))
         d = x.join(s, KEY, "left").join(src, (c("origin.collection") == c("oc")) & (c("origin.handle") == c("oh")), "left")
@@ -100,4 +118,4 @@ class TableRemote:
         self.server = self.server.join(gone, KEY, "left_anti").select(*SERVER.names).unionByName(new).checkpoint()
         self.log = self.log.unionByName(removed.withColumn("seq", c("seq").cast("long"))).checkpoint()
         self.clock += d.count()
-        return d.select("collection", "handle", "outcome", "assigned", F.when(c("new_rev").isNotNull() & F.lit(self.mutable), F.concat(F.lit("r"), "new_rev")).alias("revision"), c("n").alias("seq"))
+        return d.select("collection", "handle", "outcome", "assigned", F.when(c("new_rev").isNotNull() & F.lit(self.mutable), F.concat(F.lit("r"), "new_rev")).alias("revision"), c("n").cast("int").alias("seq"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.handles import staged_by_hub
 from ..model import BASE, CLEAN, CONFLICT, CREATED, DIRTY, DROP, FULL, HUB_EXISTING, HUB_INCOMING, HUB_MANUAL, PLACEMENT, TOMBSTONE, UPSERT, differs, null, struct
+from ..sources.storage import shared_folder
 
 ITEM = (
     T.StructType().add("flags", T.ArrayType(T.StringType())).add("object", "string").add("meta", "string").add("sort_key", "string").add("level", "integer").add("deleted", "boolean").add("conflicted", "boolean").add("conflict_object", "string")
@@ -85,7 +86,8 @@ def absorb(items: DataFrame, bindings: DataFrame, ops: DataFrame, source: str, p
     d = touched.join(bound, "link_id", "left").join(by_link, "link_id", "full_outer")
     start = F.struct(c("item").alias("item"), c("binding").alias("binding")).cast(STATE)
     folded = F.when(c("ops").isNull(), start).otherwise(F.aggregate("ops", start, lambda s, x: _step(s, x, policy)))
-    done = d.select("link_id", F.explode_outer(F.array(folded)).alias("s"))  # keeps filters on s above the fold
+    shared_folder(items.sparkSession)
+    done = d.select("link_id", folded.alias("s")).checkpoint()  # folded once for the items and the bindings that follow from it
     new = done.where(c("s.binding").isNotNull()).select("link_id", F.lit(source).alias("source"), "s.binding.*")
     still = own.join(by_link, "link_id", "left_anti")
     out = bindings.where(c("source") != source).unionByName(still.select(*bindings.columns)).unionByName(new)

@@ -64,6 +64,16 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.stage(spark, docs, "").where("doc_id = 0").count() == 1
 
 
+def test_different_texts_under_one_id_stay(spark):
+    one, other, third = ("first second third fourth fifth sixth " + w for w in ("seventh", "and then other words", "but nothing like these at all"))
+    rows = [(7, one, "a"), (7, one, "a"), (7, other, "b"), (10, one, "c"), (9, one, "d"), (None, third, "e"), (None, third, "f"), (None, None, "g"), (8, "alone here", "h")]
+    for kind in ("long", "string"):
+        given = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        out = sorted((str(r.doc_id), r.text or "") for r in neardup.stage(spark, given, "").collect())
+        first = "7" if kind == "long" else "10"  # the smallest id, as numbers or as strings
+        assert out == sorted([(first, one), ("7", other), ("8", "alone here"), ("None", third), ("None", "")])
+
+
 def test_secrets(docs, none):
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_scan.scan(docs, text_col="text", keep=["doc_id"]).collect()}
     for i, t in enumerate(TEXTS):

@@ -39,7 +39,7 @@ def brute_force(rows: list[dict]) -> Counter:
     sets = {r["doc_id"]: shingles(r["text"]) for r in rows}
     for a in sets:
         for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 lo, hi = sorted((lead[a], lead[b]))
                 lead = {k: lo if v == hi else v for k, v in lead.items()}
     rows = [r for r in rows if lead[r["doc_id"]] == r["doc_id"]]

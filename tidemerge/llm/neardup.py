@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, discard, slices, table, written, written_at
+from .common import col, discard, numbered, slices, table, written, written_at
 
 
 @dataclass(frozen=True)
@@ -374,15 +374,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 STAGE = Options(percent=80, bands=50)
 
 
+def _one_of_each(rows: DataFrame, id_col: str, text_col: str, odd: DataFrame) -> DataFrame:
+    """rows with a string key of their own: the id (whole numbers filled up with zeros) and a digest of the text. Of rows without an id,
+    or with one of the ids of odd (id, repeated), those with one key are one; texts of other rows are not shuffled."""
+    name = F.col(id_col).cast("string")
+    whole = isinstance(rows.schema[id_col].dataType, T.IntegralType)
+    sortable = F.lpad(name, 20, "0") if whole else name
+    keyed = rows.withColumn("key", F.concat(F.coalesce(sortable, F.lit("")), F.lit(":"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    known, again = keyed.where(F.col(id_col).isNotNull()), odd.where("id IS NOT NULL").select(F.col("id").alias(id_col))
+    several = keyed.where(F.col(id_col).isNull()).unionByName(known.join(again, id_col, "left_semi"))
+    return known.join(again, id_col, "left_anti").unionByName(several.dropDuplicates(["key"]))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; of rows with one id, one stays. Columns stay as they are."""
-    judged = near_duplicates(docs, options=STAGE)
-    gone = written(judged.where("NOT kept").select("doc_id").distinct(), "dropped")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*map(col, docs.columns))
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return rest
-    return rest.where(col("doc_id").isNull()).unionByName(rest.where(col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    """One document of each group stays, that with the smallest id; columns stay as they are. Where ids are null or repeated, rows of
+    one id and one text are one document, and different texts under one id are judged each by itself."""
+    names, rows = docs.columns, numbered(docs)
+    id_col, text_col = (rows.columns[names.index(c)] for c in ("doc_id", "text"))
+    odd = written(rows.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").select("id"), "odd-ids")
+    key = id_col
+    if not odd.isEmpty():
+        rows, key = _one_of_each(rows, id_col, text_col, odd), "key"
+    judged = near_duplicates(rows, id_col=key, text_col=text_col, options=STAGE)
+    gone = written(judged.where("NOT kept").select(F.col("doc_id").alias(key)), "dropped")
+    return rows.join(gone, key, "left_anti").select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ result. Only the id and text columns are read; ids may be of any type that has a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,43 +86,57 @@ class Sketcher:
             np.minimum(out, (self.a * x[:, at : at + 1024] + self.b).min(axis=1), out=out)
         return out
 
-    def keys(self, signature: np.ndarray) -> np.ndarray:
-        rows = signature.reshape(self.options.bands, self.options.rows).astype(np.uint64)
-        h = self.salt.copy()
+    def keys(self, signatures: np.ndarray) -> np.ndarray:
+        """Band keys, a row for each signature."""
+        rows = signatures.reshape(-1, self.options.bands, self.options.rows)
+        h = np.tile(self.salt, (len(rows), 1))
         for k in range(self.options.rows):
-            h = (h ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ rows[:, :, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
         return h.view(np.int64)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
-    """doc_id, n_shingles, set_key, signature (16 bits of each hash) and band keys."""
+    """doc_id, n_shingles, set_key and signature (16 bits of each hash)."""
     rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("n_shingles", "long").add("set_key", "binary").add("sig", "binary").add("keys", T.ArrayType(T.LongType()))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("n_shingles", "long").add("set_key", "binary").add("sig", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(options)
         for batch in batches:
             for lo, hi in slices(batch, "text"):
                 part = batch.slice(lo, hi - lo)
-                count, key, sig, bands = [], [], [], []
+                count, key, sig = [], [], []
                 for text in part.column("text").to_pylist():
                     found = shingle_hashes(text, options.shingle)
                     count.append(len(found))
                     if len(found):
-                        s = sketcher.signature(found)
                         key.append(xxhash.xxh3_128_digest(found.tobytes()))
-                        sig.append(s.astype(np.uint16).tobytes())
-                        bands.append(sketcher.keys(s))
+                        sig.append(sketcher.signature(found).astype(np.uint16).tobytes())
                     else:
                         key.append(None)
                         sig.append(None)
-                        bands.append(None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _banded(reps: DataFrame, options: Options) -> DataFrame:
+    """(id, key): the band keys of each class. They follow from the signatures, so they are made when read, not kept."""
+    schema = T.StructType([T.StructField("id", reps.schema["rep"].dataType), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(options)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keys = sketcher.keys(_signatures(part.column("sig")))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, options.bands, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("rep"), lists], names=schema.names)
+
+    return reps.select("rep", "sig").mapInArrow(run, schema).select("id", F.explode("keys").alias("key"))
+
+
 def fewest_matches(options: Options) -> list[tuple[int, int]]:
     """(hashes compared, least matches to go on): with fewer, the posterior that the similarity reaches the threshold, from a
     uniform prior, is below miss. That posterior is a binomial tail: P(Bin(n + 1, t) <= m)."""
@@ -173,9 +188,9 @@ def _prune(pairs: DataFrame, reps: DataFrame, options: Options) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, pairs.schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
+def _sets(texts: DataFrame, ids: DataFrame, options: Options) -> DataFrame:
     """(id, shingles): full sets, made anew, only for the ids given."""
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(ids, "id", "left_semi").where("text IS NOT NULL")
+    rows = texts.join(ids, "id", "left_semi")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("shingles", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +199,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, options:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingle_hashes(t, options.shingle).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=schema.names)
 
-    return written(rows.mapInArrow(sets, schema).dropDuplicates(["id"]), "shingle-sets")
+    return written(rows.mapInArrow(sets, schema), "shingle-sets")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -195,9 +210,9 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, options: Options) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
-    full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col, options)
+    full = _sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), options)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,12 +246,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def _by_rare_shingles(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
-    """Buckets (key, id, component, n, w) of members (id, component, n_shingles) that share one of their rarest shingles.
+def _by_rare_shingles(members: DataFrame, texts: DataFrame, options: Options) -> DataFrame:
+    """Buckets (key, id, component, n_shingles) of members (id, component, n_shingles) that share one of their rarest shingles.
 
     The order of shingles, by how many members hold them and then by value, is one for all members; of a set of n, any other that
     reaches the threshold holds at least n * percent / 100, so it holds one of the first n - n * percent / 100 + 1."""
-    full = _sets(docs, members.select("id"), id_col, text_col, options)
+    full = _sets(texts, members.select("id"), options)
     kind = T.StructType([full.schema["id"], T.StructField("key", T.LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,38 +268,81 @@ def _by_rare_shingles(members: DataFrame, docs: DataFrame, id_col: str, text_col
     alone = F.col("n_shingles") - F.size("k")  # shingles of one member alone come first in the order and bring no one together
     first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * options.percent / 100) + 1
     rare = members.join(ranked, "id").select("id", "component", "n_shingles", F.explode(F.slice("k", F.lit(1), F.greatest(F.lit(0), first - alone).cast("int"))).alias("x"))
-    rows = written(rare.select("x.key", "id", "component", "n_shingles"), "rare")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).where("n > 1")
-    return rows.select("key", "id", "component").join(sizes, "key")
+    return rare.select("x.key", "id", "component", "n_shingles")
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """(key, n, w) of the buckets (key, id, component, n, w) that hold several components; of those with the same members, one."""
+    """(key, n, w), w the shingles of all n members, of the buckets (key, id, component, n_shingles) that hold several components; of
+    buckets with the same members, one."""
     marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    mixed = placed.groupBy("key", "n", "w").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *marks).where("lo <> hi")
+    sizes = F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")
+    mixed = placed.groupBy("key").agg(*sizes, F.min("component").alias("lo"), F.max("component").alias("hi"), *marks).where("lo <> hi")
     return mixed.groupBy("n", "w", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n", "w")
 
 
-def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch], each: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """What each() makes of every run of rows with one (key, i, j); only the run at hand and one batch are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if batch.num_rows:
+                held.append(batch)
+            else:
+                continue
+        if not held:
+            continue
+        got = pa.Table.from_batches(held).combine_chunks()
+        key, i, j = (got.column(c).to_numpy() for c in ("key", "i", "j"))
+        cuts = [0, *((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)).nonzero()[0] + 1, len(key)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if (e < len(key) or batch is None) and (found := each(got.slice(s, e - s))) is not None:
+                yield found
+        held = [] if batch is None else got.slice(cuts[-2]).to_batches()
+
+
+def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, options: Options) -> DataFrame:
     """Links (a, b) across components within buckets (key, id, component, tiles).
 
-    A bucket is dealt into blocks by rows and by shingles, and every pair of blocks meets once, in one group of bounded size. There,
-    pairs that the signatures don't rule out are verified, the most alike first, and only while they lie in different components:
-    a group gives at most one link for each row.
+    A bucket is dealt into blocks by rows and by shingles, and every pair of blocks meets once, in one group of bounded size: first by
+    their signatures alone. If these leave no more pairs in a group than it has rows, the pairs are listed, and each is verified once
+    for all groups. Otherwise the rows with such a pair meet again with their full sets, where pairs are verified the most alike first,
+    and only while they lie in different components: a group gives at most one link a row.
     """
-    buckets = written(buckets, "mixed-buckets")
-    full = _sets(docs, buckets.select("id").distinct(), id_col, text_col, options)
-    own = buckets.join(reps.select(F.col("rep").alias("id"), "n_shingles", "sig"), "id").join(full, "id").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    own = buckets.join(reps.select(F.col("rep").alias("id"), "n_shingles", "sig"), "id").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = own.withColumn("o", other).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "component", "n_shingles", "sig", "shingles")
+    rows = own.withColumn("o", other).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "component", "n_shingles", "sig")
     steps = fewest_matches(options)
     kind = reps.schema["rep"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
-    def pairs_of(group: pa.Table) -> list[pa.Array] | None:
+    def candidates(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row of a group with the later ones (of the other block, where there are two) that its signature doesn't rule out."""
         sig, size = _signatures(group.column("sig")), group.column("n_shingles").to_numpy()
         comp, t = _codes(group.column("component")), group.column("t").to_numpy()
         split = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        for x in range(len(comp)):
+            meets = comp != comp[x]
+            meets &= (t > t[x]) if split else np.arange(len(comp)) > x
+            (ys,) = meets.nonzero()
+            if len(ys):
+                ys = ys[plausible(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], np.full(len(ys), size[x]), size[ys], steps, options.percent)]
+                yield x, ys[np.argsort(-(sig[ys] == sig[x]).sum(axis=1), kind="stable")]
+
+    def live_of(group: pa.Table) -> pa.RecordBatch | None:
+        found = [(x, ys) for x, ys in candidates(group) if len(ys)]
+        if not found:
+            return None
+        xs, ys = np.repeat([x for x, _ in found], [len(y) for _, y in found]), np.concatenate([y for _, y in found])
+        ids = group.column("id").combine_chunks()
+        few = len(ys) <= group.num_rows
+        rows = group.take(pa.array(xs if few else np.union1d(xs, ys)))
+        partner = ids.take(pa.array(ys)) if few else pa.nulls(len(rows), ids.type)
+        if few:
+            rows = rows.set_column(rows.schema.get_field_index("sig"), "sig", pa.nulls(len(rows), pa.binary()))
+        return rows.append_column("partner", partner).combine_chunks().to_batches()[0]
+
+    def links_of(group: pa.Table) -> pa.RecordBatch | None:
+        comp = _codes(group.column("component"))
         sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("shingles").combine_chunks()]
         root: dict[int, int] = {}
 
@@ -294,78 +352,69 @@ def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
             return c
 
         left, right = [], []
-        for x in range(len(comp)):
-            meets = comp != comp[x]
-            meets &= (t > t[x]) if split else np.arange(len(comp)) > x
-            (ys,) = meets.nonzero()
-            if not len(ys):
-                continue
-            ys = ys[plausible(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], np.full(len(ys), size[x]), size[ys], steps, options.percent)]
-            for y in ys[np.argsort(-(sig[ys] == sig[x]).sum(axis=1), kind="stable")].tolist():
+        for x, ys in candidates(group):
+            for y in ys.tolist():
                 a, b = find(int(comp[x])), find(int(comp[y]))
                 if a != b and linked(sets[x], sets[y], options.percent):
                     root[max(a, b)] = min(a, b)
                     left.append(x)
                     right.append(y)
         ids = group.column("id").combine_chunks()
-        return [ids.take(pa.array(v, pa.int64())) for v in (left, right)] if left else None
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(v, pa.int64())) for v in (left, right)], names=["a", "b"]) if left else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if not held:
-                return
-            got = pa.Table.from_batches(held).combine_chunks()
-            key, i, j = (got.column(c).to_numpy() for c in ("key", "i", "j"))
-            cuts = [0, *((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)).nonzero()[0] + 1, len(key)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if (e < len(key) or last) and (found := pairs_of(got.slice(s, e - s))):
-                    yield pa.RecordBatch.from_arrays(found, names=["a", "b"])
-            held = [] if last else got.slice(cuts[-2]).to_batches()
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                yield from flush(False)
-        yield from flush(True)
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    found = dealt.mapInArrow(run, schema)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    names = T.StructType([*rows.schema.fields, T.StructField("partner", kind)])
+    live = written(dealt(rows).mapInArrow(lambda batches: _blocks(batches, live_of), names), "live")
+    pairs = live.where("partner IS NOT NULL").select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct()
+    links = _verify(written(pairs, "listed"), texts, options)
+    many = live.where("partner IS NULL").drop("partner")
+    if many.isEmpty():
+        return links
+    full = _sets(texts, many.select("id").distinct(), options)
+    found = dealt(many.join(full, "id")).mapInArrow(lambda batches: _blocks(batches, links_of), schema)
+    return links.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Options = Options()) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
-    base = written(sketches(docs, id_col, text_col, options), "sketches")
-    classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    spark = docs.sparkSession
+    base, sketched = written_at(sketches(docs, id_col, text_col, options), "sketches")
+    classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = written(classes, "classes")
-
-    banded = reps.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).where("n > 1")
-    multi = written(banded.join(sizes, "key").select("key", F.col("rep").alias("id"), "n", "w"), "buckets")
+    known = written(base.select("doc_id", "n_shingles", "set_key"), "documents")
+    discard(spark, sketched)
+
+    banded = _banded(reps, options)
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    multi = written(banded.join(shared, "key").select("key", "id", "n"), "buckets")
+    met = written(reps.join(multi.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi"), "met")
+    mine = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where("text IS NOT NULL")
+    texts = written(mine.join(met.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
     central = multi.groupBy("id").agg(F.sum("n").alias("c"))
     hubs = multi.join(central, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("c"), F.col("id"))).alias("hub"))
     pairs = multi.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = written(_verify(written(_prune(pairs, reps, options), "survivors"), docs, id_col, text_col, options), "links")
+    links = written(_verify(written(_prune(pairs, met, options), "survivors"), texts, options), "links")
     joined = components(links)
 
-    placed = multi.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    once = written(_mixed(placed.where("n > 2")), "mixed")
+    size = met.select(F.col("rep").alias("id"), "n_shingles")
+    placed = multi.where("n > 2").select("key", "id").join(joined, "id", "left").join(size, "id").select("key", "id", F.coalesce("component", "id").alias("component"), "n_shingles")
+    placed = written(placed, "placed")
+    once = written(_mixed(placed), "mixed")
     whole = placed.select("key", "id", "component").join(once.where(F.col("n") <= options.split), "key")
     crowded = once.where(F.col("n") > options.split)
     if not crowded.isEmpty():
-        members = placed.join(crowded.select("key"), "key", "left_semi").select("id", "component").distinct().join(reps.select(F.col("rep").alias("id"), "n_shingles"), "id")
-        rare = written(_by_rare_shingles(written(members, "members"), docs, id_col, text_col, options), "rare-buckets")
+        members = placed.join(crowded.select("key"), "key", "left_semi").select("id", "component", "n_shingles").distinct()
+        rare = written(_by_rare_shingles(written(members, "members"), texts, options), "rare-buckets")
         whole = whole.unionByName(rare.select("key", "id", "component").join(_mixed(rare), "key"))
     tiles = F.ceil(F.greatest(F.col("n") / F.lit(options.tile), F.col("w") / F.lit(options.tile_shingles))).cast("int")
-    found = written(_across(whole.select("key", "id", "component", tiles.alias("tiles")), reps, docs, id_col, text_col, options), "links")
+    found = written(_across(whole.select("key", "id", "component", tiles.alias("tiles")), met, texts, options), "links")
     if not found.isEmpty():
         joined = components(links.unionByName(found))
 
     named = reps.select("set_key", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    known = base.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    known = known.join(named, "set_key", "left")
     own: Column = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return known.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

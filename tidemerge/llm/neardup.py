@@ -391,7 +391,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     multi = written(banded.join(shared, "key").select("key", "id", "n"), "buckets")
     met = written(reps.join(multi.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi"), "met")
     mine = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where("text IS NOT NULL")
-    texts = written(mine.join(met.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # One plan at every size: a merge join leaves the rows as dropDuplicates needs them, and the ids outgrow any broadcast.
+    texts = written(mine.join(met.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     central = multi.groupBy("id").agg(F.sum("n").alias("c"))
     hubs = multi.join(central, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("c"), F.col("id"))).alias("hub"))
     pairs = multi.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()

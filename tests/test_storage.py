@@ -116,3 +116,21 @@ def test_a_stream_skips_what_it_has_committed(spark, tmp_path):
     assert pushed == [("a", ["tmp"])] and store.manifest()["version"] == version
     run("c3", name="other")
     assert store.manifest()["version"] == version + 1 and store.last_batch() == "" and store.last_batch("changes") == "batch-0" == store.last_batch("other")
+
+
+def test_a_commit_runs_the_plan_of_its_operations_once(spark, tmp_path):
+    """Each row of the operations is computed once a commit, with and without rows to join, and nothing is left staged."""
+    store, seen = TableStore(spark, f"file://{tmp_path}/store"), spark.sparkContext.accumulator(0)
+
+    def counted(ops):
+        def told(rows):
+            for r in rows:
+                seen.add(1)
+                yield r
+
+        return spark.createDataFrame(ops.rdd.mapPartitions(told), ops.schema)
+
+    store.write(counted(puts(spark, ("a", "1"), ("b", "2"))))
+    assert seen.value == 2
+    store.write(counted(puts(spark, ("a", "3"), ("a", "1"))))
+    assert seen.value == 4 and keys(store) == [("a", "1"), ("a", "3"), ("b", "2")] and not list((tmp_path / "store/staged").iterdir())

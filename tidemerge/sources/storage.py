@@ -3,7 +3,7 @@ that names them, so it is all or nothing.
 
 Below root: ``data/<commit>/part=<hash>`` holds the placements of one collection as of that commit, ``objects/<commit>`` the bodies
 that a commit brought, and ``manifests/<number>.json`` which of them make up a version, with the checkpoints of collections and the
-last batch of each stream. Nothing is deleted or overwritten by a commit; the highest complete manifest counts. A commit rewrites the
+last batch of each stream; ``staged/`` the operations of commits under way. Nothing is deleted or overwritten by a commit; the highest complete manifest counts. A commit rewrites the
 collections it touches and no others, and appends bodies. ``vacuum`` removes what no kept version names.
 """
 
@@ -40,6 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, computed once and read by all that follow; it goes when the application ends."""
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def scratch_store(spark: SparkSession, **given) -> TableStore:
     """A store that goes when the application ends."""
     root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
@@ -167,11 +177,13 @@ class TableStore:
 
     def write(self, ops: DataFrame, objects: DataFrame | None = None, checkpoint: tuple[str, bytes] | None = None, batch: str | None = None, stream: str = "") -> None:
         """Apply ops in order; of one key the last counts. batch names a stream's run, to tell a replay; it stays until the stream's
-        next one."""
+        next one. The plan of ops runs once: what it gives is staged below root until the commit is done."""
+        staged = f"staged/{uuid.uuid4().hex}"
         try:
             base = self._current()
-            touched = sorted(r[0] for r in ops.where("kind IN ('UpsertPlacement', 'DropPlacement')").select("collection").distinct().collect())  # no more than collections
-            written = self._write_placements(base, ops, touched)
+            last = self._stage(ops, staged)
+            touched = sorted(r[0] for r in last.select("collection").distinct().collect())  # no more than collections
+            written = self._write_placements(base, last, touched)
             bodies = None if objects is None else self._write_objects(base, objects)
             while True:
                 now = self.manifest()
@@ -192,13 +204,25 @@ class TableStore:
         except Exception as e:
             raise StorageError(str(e)) from e
         finally:
+            path, fs = self._fs(staged)
+            fs.delete(path, True)
             self.refresh()
 
-    def _write_placements(self, base: dict, ops: DataFrame, touched: list[str]) -> dict[str, str]:
-        """Folders of the touched collections that have rows after ops."""
+    def _stage(self, ops: DataFrame, folder: str) -> DataFrame:
+        """The last operation of each key."""
+        last = wo.last_wins(ops)
+        last.write.parquet(f"{self.root}/{folder}")
+        return self.spark.read.schema(last.schema).parquet(f"{self.root}/{folder}")
+
+    def _write_placements(self, base: dict, last: DataFrame, touched: list[str]) -> dict[str, str]:
+        """Folders of the touched collections that have rows after the last operations of keys."""
         if not touched:
             return {}
-        rows = (wo.apply_ops_soft if self.soft else wo.apply_ops)(self._rows(base, touched), ops)
+        if any(c in base["collections"] for c in touched):
+            rows = (wo.apply_last_soft if self.soft else wo.apply_last)(self._rows(base, touched), last)
+        else:  # nothing to join with
+            rows = wo.upserted(last)
+            rows = rows.withColumn("hidden", F.lit(False)) if self.soft else rows
         commit = f"data/{uuid.uuid4().hex}"
         part = F.md5("collection")
         rows.withColumn("part", part).hint("rebalance", F.col("part")).write.partitionBy("part").parquet(f"{self.root}/{commit}")
@@ -224,9 +248,9 @@ class TableStore:
         whole = [(n, m) for n in names if (m := self._read(n)) is not None][-keep:]
         used = {f for _, m in whole for f in [*m["collections"].values(), *m["objects"]]}
         gone = 0
-        for kind in ("data", "objects"):
+        for kind in ("data", "objects", "staged"):
             for commit in self._names(kind):
-                if kind == "objects" or not any(f.startswith(f"{kind}/{commit}/") for f in used):
+                if kind != "data" or not any(f.startswith(f"{kind}/{commit}/") for f in used):
                     parts = [f"{kind}/{commit}"]
                 else:
                     parts = [f"{kind}/{commit}/{n}" for n in self._names(f"{kind}/{commit}") if n.startswith("part=")]

@@ -1,6 +1,7 @@
 """Queries against the other engine, on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -50,3 +51,25 @@ def test_every_outcome_occurs():
     assert seen("push_unmatched", '"case"') >= {"P1", "P2", "P3", "P4", "P5", "P6", "P8"}
     assert con.sql(SQL["stale_dedup"]).fetchall() and con.sql(SQL["lingering"]).fetchall()
     assert {r[0] for r in con.sql(f"SELECT DISTINCT outcome FROM ({SQL['push_remote']})").fetchall()} == {"Accepted", "Rejected"}
+
+
+@pytest.mark.parametrize("conflict", ["manual", "keep_both"])
+def test_decisions_applied_beside_their_rows(spark, conflict):
+    """As apply_ops, without its join and aggregation (only copies of KEEP_BOTH need these)."""
+    from tidemerge import fixtures as fx
+    from tidemerge.model import SyncOptions
+    from tidemerge.operators.ops import apply_ops, apply_own
+    from tidemerge.plans import merge
+
+    rows, options = fx.replica(spark, SF), SyncOptions(conflict=conflict)
+    d = merge.decide(merge.full_candidates(rows, fx.remote_items(spark, SF)), options).checkpoint()
+    want, got = apply_ops(rows, merge.write_ops(d)), apply_own(d, options)
+    assert want.count() == got.count() > 0 and want.exceptAll(got.select(*want.columns)).isEmpty()
+    if conflict == "manual":
+        assert not {"Aggregate", "Join"} & set(re.findall("Aggregate|Join", got._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_stale_dedup_applies_once(spark):
+    """The merge is neither joined a second time nor folded by key: one table of the applied replica, read by all that follow."""
+    plan = QUERIES["stale_dedup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "orders.parquet" not in plan and "FullOuter" not in plan

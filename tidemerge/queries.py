@@ -23,7 +23,7 @@ from .operators import upgrade as up
 from .operators import views
 from .plans import merge
 from .sources.remote import TableRemote, enumerate_items
-from .sources.storage import scratch_store, shared_folder
+from .sources.storage import kept, scratch_store, shared_folder
 from .streaming.sync import sync_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,7 +428,7 @@ def lingering(spark, sf):
 @query(decided() + "SELECT s.collection, s.handle FROM sides s JOIN dec d ON s.collection = d.collection AND s.handle = d.handle WHERE d.pulls AND s.has_local AND s.link IS NOT NULL AND s.based AND s.k % 3 = 0")
 def stale_dedup(spark, sf):
     """What a later hydration would fill from another row with the link, after a sync took the bodies of changed items."""
-    rows = wo.apply_ops(fx.replica(spark, sf), merge.write_ops(_full(spark, sf)))
+    rows = kept(wo.apply_own(_full(spark, sf)).select("collection", "handle", "link_id", "object", "level", "base"), "replica")
     other = rows.where("link_id IS NOT NULL AND cast(handle AS long) % 3 = 0").withColumn("collection", F.lit("other")).withColumn("object", F.lit("kept"))
     return views.stale_dedup(rows.unionByName(other)).where("collection <> 'other'").select("collection", "handle")
 

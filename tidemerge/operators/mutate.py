@@ -5,22 +5,24 @@ to_collection, to_handle; link_id). The result is (ops, rejects): write operatio
 handle is unknown or whose link is already live.
 
 Mutations of one handle are folded in order of seq, so each sees what the ones before it left. What a copy, a move or an add of the
-batch makes can be changed by later mutations of the batch: where that happens, the batch is worked off in waves, each as far as it
-depends on no earlier mutation that is still to come. Links are judged by the replica as it was before the batch and by earlier adds
-of the batch.
+batch makes can be changed by later mutations of the batch: a batch with copies or moves is worked off in waves, each as far as it
+depends on no earlier mutation that is still to come. A handle's mutations are gathered beside its row once; a wave is one table in the
+shared folder, and the next one moves only what this one held back. Links are judged by the replica as it was before the batch and by
+earlier adds of the batch.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import flags as fl
 from ..model import CREATED, FULL, OP, ORIGIN, PLACEMENT, TOMBSTONE, UPSERT, as_row, null
 from ..plans.text import base_of, placement, struct, with_
+from ..sources.storage import kept
 
 KEY = ["collection", "handle"]
 MUTATION = (
@@ -67,13 +69,16 @@ def _step() -> str:
     return f"IF({reason} IS NOT NULL, {refused}, named_struct('row', {own}, 'seq', {seq}, 'made', {made}, 'refused', s.refused))"
 
 
-def _folded(rows: DataFrame, events: DataFrame) -> DataFrame:
+def _listed(events: DataFrame) -> DataFrame:
+    """(collection, handle, es): each handle's mutations in order."""
+    return events.groupBy(*KEY).agg(F.sort_array(F.collect_list("e")).alias("es"))
+
+
+def _folded(listed: DataFrame, of: str = "es", *also: str) -> DataFrame:
     """(collection, handle, s): what each handle's mutations make of its row l, in order."""
-    lists = events.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("e.seq").alias("at"), "e"))).alias("es"))
-    kind = STATE.simpleString()
-    start = f"cast(named_struct('row', l, 'seq', NULL, 'made', array(), 'refused', array()) AS {kind})"
-    fold = F.expr(f"aggregate(es, {start}, (s, x) -> aggregate(array(x.e), s, (s, e) -> cast({_step()} AS {kind})))")
-    return lists.join(rows, KEY, "left").select(*KEY, F.explode_outer(F.array(fold)).alias("s"))
+    start = f"cast(named_struct('row', l, 'seq', NULL, 'made', array(), 'refused', array()) AS {STATE.simpleString()})"
+    fold = F.expr(f"aggregate({of}, {start}, (s, e) -> {_step()})")
+    return listed.select(*KEY, F.explode_outer(F.array(fold)).alias("s"), *also)
 
 
 def _ops(folded: DataFrame) -> DataFrame:
@@ -87,36 +92,33 @@ def _rejects(folded: DataFrame) -> DataFrame:
     return folded.select(*KEY, F.explode("s.refused").alias("r")).select("r.seq", "r.kind", *KEY, "r.reason")
 
 
-def _targets(events: DataFrame) -> DataFrame:
-    """(collection, handle, tseq) that copies and moves make."""
-    return events.where(F.col("e.kind").isin("copy", "move")).select(F.col("e.to_collection").alias("collection"), F.col("e.to_handle").alias("handle"), F.col("e.seq").alias("tseq"))
+def _due(makers: DataFrame) -> DataFrame:
+    """(collection, handle, due): where copies and moves (collection, handle, seq) put rows, and the first of them for each."""
+    return makers.groupBy(*KEY).agg(F.min("seq").alias("due"))
 
 
-def _held(events: DataFrame, how: str) -> DataFrame:
-    """Mutations of handles that an earlier one of events is still to make (left_semi), or the others (left_anti)."""
-    first = _targets(events).groupBy(*[F.col(k).alias(f"t_{k}") for k in KEY]).agg(F.min("tseq").alias("tseq"))
-    on: Column = (F.col("collection") == F.col("t_collection")) & (F.col("handle") == F.col("t_handle")) & (F.col("e.seq") > F.col("tseq"))
-    return events.join(first, on, how)
+def _wave(listed: DataFrame, due: DataFrame) -> DataFrame:
+    """(collection, handle, s, later): each handle's mutations up to the first that makes a row there, folded, and those after it."""
+    after = "coalesce(e.seq > due, false)"
+    cut = listed.join(due, KEY, "left").select(*KEY, "l", F.expr(f"filter(es, e -> NOT {after})").alias("now"), F.expr(f"filter(es, e -> {after})").alias("later"))
+    return kept(_folded(cut, "now", "later"), "wave")
 
 
 def mutate(placements: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    events = _judged(placements, batch)
-    rows = placements.select(*KEY, as_row().alias("l"))
-    met = batch.select(*KEY).join(batch.where("kind IN ('copy', 'move')").selectExpr("to_collection AS collection", "to_handle AS handle"), KEY, "left_semi")
-    if met.isEmpty():
-        folded = _folded(rows, events)
+    makers = batch.where("kind IN ('copy', 'move')").selectExpr("to_collection AS collection", "to_handle AS handle", "seq")
+    listed = _listed(_judged(placements, batch)).join(placements.select(*KEY, as_row().alias("l")), KEY, "left")
+    if makers.isEmpty():
+        folded = _folded(listed)
         return _ops(folded), _rejects(folded)
-    waves, pending = [], events.checkpoint()
-    while not pending.isEmpty():
-        wave = _folded(rows, _held(pending, "left_anti")).checkpoint()
-        held = _held(pending, "left_semi")
-        names = held.select(*KEY).distinct()
-        nothing = [F.lit(None).cast(MUTATION[f].dataType).alias(f) for f in GIVEN]
-        made = wave.select(F.explode("s.made").alias("m")).select("m.placement.collection", "m.placement.handle", F.struct((F.col("m.seq") / 2).cast("int").alias("seq"), F.lit(PLACE).alias("kind"), *nothing, F.lit(False).alias("taken"), F.col("m.placement").alias("placement")).alias("e"))
-        rows = rows.join(wave.select(*KEY), KEY, "left_anti").unionByName(wave.where(F.col("s.row").isNotNull()).select(*KEY, F.col("s.row").alias("l"))).join(names, KEY, "left_semi").checkpoint()
-        pending = held.unionByName(made.join(names, KEY, "left_semi")).checkpoint()
-        waves.append(wave)
-    every = reduce(DataFrame.unionByName, waves)
+    waves = [_wave(listed, _due(makers))]
+    nothing = [F.lit(None).cast(MUTATION[f].dataType).alias(f) for f in GIVEN]
+    place = F.struct((F.col("m.seq") / 2).cast("int").alias("seq"), F.lit(PLACE).alias("kind"), *nothing, F.lit(False).alias("taken"), F.col("m.placement").alias("placement"))
+    while not (held := waves[-1].where("size(later) > 0")).isEmpty():
+        made = waves[-1].select(F.explode("s.made").alias("m")).select("m.placement.collection", "m.placement.handle", place.alias("e")).groupBy(*KEY).agg(F.collect_list("e").alias("places"))
+        makers = held.select(F.explode("later").alias("e")).where("e.kind IN ('copy', 'move')").selectExpr("e.to_collection AS collection", "e.to_handle AS handle", "e.seq AS seq")
+        every = F.expr("sort_array(IF(places IS NULL, later, concat(later, places)))")
+        waves.append(_wave(held.join(made, KEY, "left").select(*KEY, F.col("s.row").alias("l"), every.alias("es")), _due(makers)))
+    every = reduce(DataFrame.unionByName, [w.select(*KEY, "s") for w in waves])
     return _ops(every), _rejects(every)
 
 
